@@ -1,8 +1,8 @@
 """Queries of the training-data operators, and DuckDB SQL for those that SQL can express."""
 
-from hakuspark.llm import url_filter
+from hakuspark.llm import license_scan, url_filter
 
-_MODULES = (url_filter,)
+_MODULES = (url_filter, license_scan)
 
 
 def queries():
