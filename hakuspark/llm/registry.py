@@ -1,8 +1,8 @@
 """Queries of the training-data operators, and DuckDB SQL for those that SQL can express."""
 
-from hakuspark.llm import lang_id, license_scan, packing, pieces, url_filter, warc
+from hakuspark.llm import lang_id, license_scan, packing, pieces, secret_scan, url_filter, warc
 
-_MODULES = (url_filter, license_scan, lang_id, packing, pieces, warc)
+_MODULES = (url_filter, license_scan, lang_id, packing, pieces, warc, secret_scan)
 
 
 def queries():
