@@ -1,8 +1,8 @@
 """Queries of the training-data operators, and DuckDB SQL for those that SQL can express."""
 
-from hakuspark.llm import embedding_dedup, lang_id, license_scan, packing, pieces, secret_scan, topk_search, url_filter, warc
+from hakuspark.llm import embedding_dedup, lang_id, license_scan, minhash, packing, pieces, secret_scan, topk_search, url_filter, warc
 
-_MODULES = (url_filter, license_scan, lang_id, packing, pieces, warc, secret_scan, topk_search, embedding_dedup)
+_MODULES = (url_filter, license_scan, lang_id, packing, pieces, warc, secret_scan, topk_search, embedding_dedup, minhash)
 
 
 def queries():
