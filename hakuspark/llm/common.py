@@ -54,3 +54,17 @@ def literal_rows(spark: SparkSession, names: list[str], rows: list[tuple]) -> Da
     """A frame of literals, planned without any Python."""
     structs = [F.struct(*(F.lit(v).alias(n) for n, v in zip(names, row))) for row in rows]
     return spark.range(1).select(F.explode(F.array(*structs)).alias("_r")).select("_r.*")
+
+
+def masked(docs: DataFrame) -> DataFrame:
+    """docs with columns named by position, so that they can't clash with an operator's own."""
+    return docs.toDF(*(f"_doc{i}" for i in range(len(docs.columns))))
+
+
+def mask_of(docs: DataFrame, name: str) -> str:
+    return f"_doc{docs.columns.index(name)}"
+
+
+def unmasked(df: DataFrame, docs: DataFrame) -> DataFrame:
+    """The columns of docs, under their names, from a frame made of masked(docs)."""
+    return df.select(*(F.col(f"_doc{i}").alias(name) for i, name in enumerate(docs.columns)))

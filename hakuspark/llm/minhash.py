@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hakuspark.llm.common import small, stored, table
+from hakuspark.llm.common import mask_of, masked, small, stored, table, unmasked
 from hakuspark.llm.components import components, roots, unite
 from hakuspark.llm.packing import _nullable
 
@@ -276,6 +276,29 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     return out.select(F.col("_key").alias(key), "n_shingles", component.alias("component_id"), F.col("_key").eqNullSafe(component).alias("kept"))
 
 
+def _is_table(df: DataFrame) -> bool:
+    """Whether df only reads files, so that row numbers by scan order come out alike each time."""
+    plan = df._jdf.queryExecution().analyzed()
+    while plan.getClass().getSimpleName() == "Project":
+        plan = plan.child()
+    return plan.getClass().getSimpleName() == "LogicalRelation"
+
+
+def deduplicate(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of docs, in all columns, without near duplicates: of each group the row with the smallest id stays.
+
+    Works by row, so repeated and null ids lose nothing: of rows with equal ids the first stays, and null ids come last.
+    """
+    docs = docs if _is_table(docs) else stored(docs, "docs")
+    rows = masked(docs).withColumn("_row", F.monotonically_increasing_id())
+    groups = near_duplicates(rows, words, percent, "_row", mask_of(docs, text)).select("_row", "component_id")
+    named = groups.join(rows.select("_row", F.col(mask_of(docs, key)).alias("_key")), "_row")
+    order = F.struct(F.col("_key").isNull().alias("none"), "_key", "_row")
+    best = named.groupBy("component_id").agg(F.min(order).alias("_best"), F.count("*").alias("_n")).where("_n > 1")
+    gone = stored(named.join(best, "component_id").where(F.col("_row") != F.col("_best._row")).select("_row"), "gone")
+    return unmasked(rows.join(small(gone, gone.count()), "_row", "left_anti"), docs)
+
+
 def op7_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), words=2)
 

@@ -19,7 +19,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hakuspark.llm.common import literal_rows, table
+from hakuspark.llm.common import literal_rows, mask_of, masked, table, unmasked
 
 # The base patterns. A run of [0-9a-f]+ of 16 or more characters is what {16,} finds; likewise AKIA.
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -105,7 +105,7 @@ def ratio(token: Column, model: list[float]) -> Column:
 
 
 def find_secrets(docs: DataFrame, model: list[float] | None = None, text: str = "text") -> DataFrame:
-    """docs with the column `secrets`: base and random spans in order. The model is fitted on docs if none is given."""
+    """docs with the column `secrets` (in place of one of that name): base and random spans in order. The model is fitted on docs if none is given."""
     model = fit(labelled_samples(docs, text)) if model is None else model
     whole = F.coalesce(F.col(text), F.lit(""))
     based = docs.withColumn("secrets", base_spans(whole))
@@ -116,15 +116,15 @@ def find_secrets(docs: DataFrame, model: list[float] | None = None, text: str =
 
 def redact(docs: DataFrame, model: list[float] | None = None, text: str = "text", mark: str = "[SECRET]") -> DataFrame:
     """docs with each span, or run of overlapping ones, replaced by a mark; null texts stay null."""
-    found = find_secrets(docs.withColumn("_whole", F.col(text)), model, "_whole")
-    whole = F.col("_whole")
+    name = mask_of(docs, text)
+    found, whole = find_secrets(masked(docs), model, name), F.col(name)
 
     def step(acc: Column, s: Column) -> Column:
         gap = F.concat(acc["out"], F.substring(whole, acc["at"] + 1, s["start"] - acc["at"]), F.lit(mark))
         return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(s["start"] >= acc["at"], gap).otherwise(acc["out"]).alias("out"))
 
     clean = F.aggregate("secrets", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda acc: F.concat(acc["out"], F.substring(whole, acc["at"] + 1, F.length(whole))))
-    return found.withColumn(text, F.when(F.size("secrets") > 0, clean).otherwise(whole)).drop("_whole", "secrets")
+    return unmasked(found.withColumn(name, F.when(F.size("secrets") > 0, clean).otherwise(whole)), docs)
 
 
 def _joined(spans: Column) -> Column:
