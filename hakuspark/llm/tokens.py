@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Callable, Hashable, Iterable
+from itertools import chain
 
 import numpy as np
 
-MEMO_PARTS = 300_000
-MEMO_SIZE = 16_000_000
+MEMO_PARTS = 600_000
+MEMO_SIZE = 24_000_000
 
 
 def vocabulary_path(name: str) -> str:
@@ -33,17 +35,19 @@ class Memo:
         self.used = self.size = 0
 
     def _learn(self, parts: list) -> None:
-        for part, ids in zip(parts, self.encode(parts)):
-            n = len(self.at)
-            if n >= len(self.starts):
-                self.starts, self.sizes = np.resize(self.starts, 2 * n), np.resize(self.sizes, 2 * n)
-            if self.used + len(ids) > len(self.flat):
-                self.flat = np.resize(self.flat, 2 * (self.used + len(ids)))
-            self.flat[self.used : self.used + len(ids)] = ids
-            self.starts[n], self.sizes[n] = self.used, len(ids)
-            self.used += len(ids)
-            self.size += len(part) + len(ids)
-            self.at[part] = n
+        found = list(self.encode(parts))
+        sizes = np.fromiter(map(len, found), np.int64, len(found))
+        n, more = len(self.at), int(sizes.sum())
+        while n + len(parts) > len(self.starts):
+            self.starts, self.sizes = np.resize(self.starts, 2 * len(self.starts)), np.resize(self.sizes, 2 * len(self.sizes))
+        while self.used + more > len(self.flat):
+            self.flat = np.resize(self.flat, 2 * len(self.flat))
+        self.flat[self.used : self.used + more] = np.fromiter(chain.from_iterable(found), np.uint32, more)
+        self.starts[n : n + len(parts)] = self.used + np.cumsum(sizes) - sizes
+        self.sizes[n : n + len(parts)] = sizes
+        self.used += more
+        self.size += sum(map(len, parts)) + more
+        self.at.update(zip(parts, range(n, n + len(parts))))
 
     def ids(self, parts: list) -> np.ndarray:
         """The ids of all parts, one after another."""
@@ -51,7 +55,8 @@ class Memo:
             return np.zeros(0, np.uint32)
         if len(self.at) > MEMO_PARTS or self.size > MEMO_SIZE:
             self.forget()
-        self._learn(list(set(parts).difference(self.at)))
+        if new := set(parts).difference(self.at):
+            self._learn(list(new))
         which = np.fromiter(map(self.at.__getitem__, parts), np.int64, len(parts))
         sizes = self.sizes[which]
         ends = np.cumsum(sizes)
@@ -61,18 +66,42 @@ class Memo:
 _held: dict[str, WordTokenizer] = {}
 
 
+def _byte_letters() -> dict[int, str]:
+    """The printable character that a byte-level vocabulary writes for each byte."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = iter(range(256, 512))
+    return {b: chr(b if b in plain else next(others)) for b in range(256)}
+
+
 class WordTokenizer:
-    """The tokenizer of a file that drops white space before it splits.
+    """The tokenizer of a file that composes, lower-cases, drops white space and splits letters from signs.
 
-    What stands between ASCII white space is therefore independent, and each distinct part is encoded once.
+    What stands between ASCII white space is therefore independent, and so is a full stop or comma after a letter;
+    each distinct part is encoded once. Parts of small Latin letters only are one word for the model, and skip the
+    steps before it.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        tokenizer = Tokenizer.from_file(path)
-        self.memo = Memo(lambda parts: [e.ids for e in tokenizer.encode_batch([p.decode("utf-8", "replace") for p in parts], add_special_tokens=False)])
+        self.tokenizer = Tokenizer.from_file(path)
+        self.letters = _byte_letters()
+        small = "".join(c for c in map(chr, range(0x180)) if c.isalpha() and c == c.lower())
+        self.word = re.compile(f"[{small}]+").fullmatch
+        self.memo = Memo(self._encode)
+
+    def _encode(self, parts: list[bytes]) -> list[list[int]]:
+        texts, model, out, hard = [p.decode("utf-8", "replace") for p in parts], self.tokenizer.model, [], []
+        for i, text in enumerate(texts):
+            if self.word(text):
+                out.append([t.id for t in model.tokenize(text if text.isascii() else parts[i].decode("latin-1").translate(self.letters))])
+            else:
+                out.append([])
+                hard.append(i)
+        for i, encoding in zip(hard, self.tokenizer.encode_batch([texts[i] for i in hard], add_special_tokens=False)):
+            out[i] = encoding.ids
+        return out
 
     @staticmethod
     def held(path: str) -> WordTokenizer:
@@ -82,4 +111,11 @@ class WordTokenizer:
         return _held[path]
 
     def encode(self, text: str) -> np.ndarray:
-        return self.memo.ids(text.encode("utf-8", "replace").split())
+        data = text.encode("utf-8", "replace")
+        # Lower case first, unless a combining mark follows (U+0300 to U+036F) or a special token is spelled out.
+        if b"\xcc" not in data and b"\xcd" not in data and b"<|" not in data:
+            data = data.lower()
+        return self.memo.ids(_END.sub(rb"\1 \2", data).split())
+
+
+_END = re.compile(rb"([a-z])([.,])(?=[ \n]|$)")
