@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from hakuspark.functions.core import brackets_of, encoded, failing, morae, well_formed
+from hakuspark.functions.core import brackets_of, encoded, failing, let, morae, well_formed
 
 Bound = Column | int | None
 
@@ -35,12 +35,16 @@ def part(m: Column, start: Bound, end: Bound) -> Column:
     return F.slice(m, a + 1, F.greatest(b - a, F.lit(0)))
 
 
+def form_of(m: Column) -> Column:
+    """The bracket form of an array of morae."""
+    return F.when(F.size(m) > 0, F.concat(F.lit("<"), F.array_join(m, "><"), F.lit(">"))).when(m.isNotNull(), "")
+
+
 def part_brackets(kana: Column, start: Bound, end: Bound) -> Column:
     """The bracket form of morae [start:end]."""
     if not isinstance(start, Column) and not start and end is None:
         return encoded(kana)
-    kept = part(morae(kana), start, end)
-    return F.when(F.size(kept) > 0, F.concat(F.lit("<"), F.array_join(kept, "><"), F.lit(">"))).otherwise(F.when(kana.isNotNull(), ""))
+    return let(morae(kana), lambda m: form_of(part(m, start, end)))
 
 
 def slice_morae(kana: Column, start: Bound = None, end: Bound = None, step: int | None = None, *, errors: str = "raise") -> Column:
@@ -48,21 +52,30 @@ def slice_morae(kana: Column, start: Bound = None, end: Bound = None, step: int
     step = 1 if step is None else step
     if step == 0:
         raise ValueError("slice step cannot be zero")
-    m = morae(kana)
     if step == 1:
-        return F.array_join(part(m, start, end), "")
+        return let(morae(kana), lambda m: F.array_join(part(m, start, end), ""))
+    return well_formed(let(morae(kana), lambda m: form_of(_stepped(m, start, end, step))), errors)
+
+
+def _stepped(m: Column, start: Bound, end: Bound, step: int) -> Column:
+    """Elements [start:end:step] of an array, step not 1."""
     n = F.size(m)
     if step > 0:
         a, b = bounds(n, start, end)
         last = b - 1
     else:
-        low = lambda value, default: default if value is None else F.coalesce(F.when((v := value if isinstance(value, Column) else F.lit(value)) < 0, F.greatest(n + v, F.lit(-1))).otherwise(F.least(v, n - 1)), default)
+
+        def low(value: Bound, default: Column) -> Column:
+            if value is None:
+                return default
+            at = value if isinstance(value, Column) else F.lit(value)
+            return F.coalesce(F.when(at < 0, F.greatest(n + at, F.lit(-1))).otherwise(F.least(at, n - 1)), default)
+
         a, last = low(start, n - 1), low(end, F.lit(-1)) + 1
     some = (a <= last) if step > 0 else (a >= last)
     at = F.sequence(F.when(some, a).otherwise(0), F.when(some, last).otherwise(0), F.lit(step) if step > 0 else F.when(some, step).otherwise(1))
     picked = F.transform(F.when(some, at).otherwise(F.array().cast("array<int>")), lambda i: F.get(m, i))
-    form = F.when(F.size(picked) > 0, F.concat(F.lit("<"), F.array_join(picked, "><"), F.lit(">"))).otherwise(F.when(kana.isNotNull(), ""))
-    return well_formed(form, errors)
+    return F.when(m.isNotNull(), picked)
 
 
 def reversed_morae(kana: Column) -> Column:

@@ -17,6 +17,11 @@ from hakuspark.functions.tables import CONVERSION_TABLE, HIRAGANA, KATAKANA, LIM
 Text = Column | str
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is computed once, however often body uses it (also inside other lambda functions)."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def failing(bad: Column, message: Column | str, value: Column, errors: str = "raise") -> Column:
     """value, unless bad holds: then an error or null."""
     if errors not in ("raise", "null"):
@@ -135,6 +140,5 @@ def marks(brackets: Column) -> Column:
 
 def well_formed(brackets: Column, errors: str = "raise", message: str = "ill-formed mora string") -> Column:
     """The text of a bracket form, if splitting it again gives the same morae."""
-    text = decoded(brackets)
-    return failing(encoded(text) != brackets, message, text, errors)
+    return let(brackets, lambda form: let(decoded(form), lambda text: failing(encoded(text) != form, message, text, errors)))
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from hakuspark.functions.access import Bound, bounds, part_brackets
-from hakuspark.functions.core import Text, brackets_of, encoded, failing, kana_of, marks, mora_count
+from hakuspark.functions.core import Text, brackets_of, encoded, failing, kana_of, let, marks, mora_count
 
 
 def _beyond(start: Bound, size: Column) -> Column:
@@ -40,17 +40,26 @@ def endswith(kana: Column, suffixes: Text | tuple[Text, ...], start: Bound = Non
 def _found(kana: Column, needle: Text, start: Bound, end: Bound, charwise: bool, last: bool) -> Column:
     if charwise and not (start is None and end is None):
         raise TypeError("charwise can't be combined with bounds")
-    form, wanted, n = part_brackets(kana, start, end), brackets_of(needle), mora_count(kana)
-    a, b = bounds(n, start, end)
-    if last:
-        back = F.instr(F.reverse(form), F.reverse(wanted))
-        at = F.when(back > 0, F.length(form) - back - F.length(wanted) + 2).otherwise(0)
+    wanted, whole = brackets_of(needle), start is None and end is None
+
+    def hit(form: Column) -> Column:
+        if last:
+            back = F.instr(F.reverse(form), F.reverse(wanted))
+            return F.when(back > 0, F.length(form) - back - F.length(wanted) + 2).otherwise(0)
+        return F.instr(form, wanted)
+
+    def place(form: Column, n: Column) -> Column:
+        a, b = bounds(n, start, end)
+        before = lambda at: marks(F.substring(form, F.lit(1), at - 1))
+        found = let(hit(form), lambda at: F.when(at > 0, at - 1 - 2 * before(at) if charwise else before(at) + a).otherwise(-1))
+        empty = (F.length(kana) if charwise else b) if last else a
+        return F.when(_beyond(start, n), -1).when(wanted == "", F.when(a <= b, empty).otherwise(-1)).otherwise(found)
+
+    if whole:
+        at = let(encoded(kana), lambda form: place(form, marks(form)))
     else:
-        at = F.instr(form, wanted)
-    before = marks(F.substring(form, F.lit(1), at - 1))
-    hit = at - 1 - 2 * before if charwise else before + a
-    empty = (F.length(kana) if charwise else b) if last else a
-    return F.when(kana.isNotNull() & wanted.isNotNull(), F.when(_beyond(start, n), -1).when(wanted == "", F.when(a <= b, empty).otherwise(-1)).when(at > 0, hit).otherwise(-1)).cast("int")
+        at = let(mora_count(kana), lambda n: let(part_brackets(kana, start, end), lambda form: place(form, n)))
+    return F.when(kana.isNotNull() & wanted.isNotNull(), at).cast("int")
 
 
 def find(kana: Column, needle: Text, start: Bound = None, end: Bound = None, *, charwise: bool = False) -> Column:
@@ -76,24 +85,38 @@ def rindex(kana: Column, needle: Text, start: Bound = None, end: Bound = None, *
 
 def count(kana: Column, needle: Text, start: Bound = None, end: Bound = None) -> Column:
     """Number of hits in morae [start:end]; an empty needle counts the gaps."""
-    form, wanted, n = part_brackets(kana, start, end), brackets_of(needle), mora_count(kana)
-    a, b = bounds(n, start, end)
-    hits = (F.length(form) - F.length(F.replace(form, wanted))) / F.greatest(F.length(wanted), F.lit(1))
-    return F.when(kana.isNotNull() & wanted.isNotNull(), F.when(_beyond(start, n), 0).when(wanted == "", F.greatest(b - a + 1, F.lit(0))).otherwise(hits)).cast("int")
+    wanted = brackets_of(needle)
+
+    def number(form: Column, n: Column) -> Column:
+        a, b = bounds(n, start, end)
+        hits = (F.length(form) - F.length(F.replace(form, wanted))) / F.greatest(F.length(wanted), F.lit(1))
+        return F.when(_beyond(start, n), 0).when(wanted == "", F.greatest(b - a + 1, F.lit(0))).otherwise(hits)
+
+    if start is None and end is None:
+        counted = let(encoded(kana), lambda form: number(form, marks(form)))
+    else:
+        counted = let(mora_count(kana), lambda n: let(part_brackets(kana, start, end), lambda form: number(form, n)))
+    return F.when(kana.isNotNull() & wanted.isNotNull(), counted).cast("int")
 
 
 def finditer(kana: Column, needle: Text, *, charwise: bool = False) -> Column:
     """Indices of all hits, as an array. A needle of more morae than the text swaps roles with it."""
-    one, two = encoded(kana), brackets_of(needle)
-    swap = marks(one) < marks(two)
-    form, wanted = F.when(swap, two).otherwise(one), F.when(swap, one).otherwise(two)
-    ends = F.sequence(F.lit(0), marks(form))
-    if charwise:
-        sizes = F.aggregate(F.split(F.translate(form, ">", ""), "<"), F.array(F.lit(0)), lambda acc, x: F.when(x == "", acc).otherwise(F.concat(acc, F.array(F.element_at(acc, -1) + F.length(x)))))
-        ends = sizes
-    pieces = F.split(form, F.concat(F.lit("\\Q"), wanted, F.lit("\\E")), -1)
-    length = (lambda x: F.length(x) - 2 * marks(x)) if charwise else marks
-    step = length(wanted)
-    walked = F.aggregate(F.slice(pieces, F.lit(1), F.size(pieces) - 1), F.array().cast("array<int>"), lambda acc, x: F.concat(acc, F.array((F.coalesce(F.try_element_at(acc, F.lit(-1)) + step, F.lit(0)) + length(x)).cast("int"))))
-    return F.when(wanted == "", ends).otherwise(walked)
+    other = brackets_of(needle)
+    # What is searched and what is searched for, after the swap.
+    roles = let(encoded(kana), lambda form: F.when(marks(form) < marks(other), F.struct(other.alias("form"), form.alias("wanted"))).otherwise(F.struct(form.alias("form"), other.alias("wanted"))))
+    return let(roles, lambda r: F.when(r["form"].isNotNull() & r["wanted"].isNotNull(), F.when(r["wanted"] == "", _ends(r["form"], charwise)).otherwise(_hits(r["form"], r["wanted"], charwise))))
+
+
+def _ends(form: Column, charwise: bool) -> Column:
+    """All places between morae."""
+    if not charwise:
+        return F.sequence(F.lit(0), marks(form))
+    return F.aggregate(F.split(F.translate(form, ">", ""), "<"), F.array(F.lit(0)), lambda acc, x: F.when(x == "", acc).otherwise(F.concat(acc, F.array(F.element_at(acc, -1) + F.length(x)))))
 
+
+def _hits(form: Column, wanted: Column, charwise: bool) -> Column:
+    """Where the needle stands: after each piece between needles, and the needles before."""
+    length = (lambda x: F.length(x) - 2 * marks(x)) if charwise else marks
+    pieces = F.split(form, F.concat(F.lit("\\Q"), wanted, F.lit("\\E")), -1)
+    firsts = let(pieces, lambda p: F.slice(p, F.lit(1), F.size(p) - 1))
+    return let(length(wanted), lambda step: F.aggregate(firsts, F.array().cast("array<int>"), lambda acc, x: F.concat(acc, F.array((F.coalesce(F.try_element_at(acc, F.lit(-1)) + step, F.lit(0)) + length(x)).cast("int")))))

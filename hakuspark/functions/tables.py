@@ -46,15 +46,12 @@ def checked_table(mapping: Mapping[str, str]) -> dict[str, str]:
     return dict(mapping)
 
 
-def _attach(before: str) -> str:
-    """Alternatives for a small kana that joins what is before: its vowel is another one."""
-    return "|".join(f"(?<![{ROWS[v]}])[{small}]" for v, small in SMALL.items()) if before == "" else ""
-
-
-#: One mora (Java and Python): a kana, and small kana each of another vowel than the character before it.
-MORA = f"[{ANY}](?:{_attach('')})*"
+#: A small kana that joins what is before it, as its vowel is another one. Most kana fail the first test.
+_JOINS = f"(?=[{SMALLS}])(?:" + "|".join(f"(?<![{ROWS[v]}])[{small}]" for v, small in SMALL.items()) + ")"
+#: One mora (Java and Python): a kana, and small kana that join.
+MORA = f"[{ANY}](?:{_JOINS})*"
 #: A mora over the limit.
-TOO_LONG = f"[{ANY}](?:{_attach('')}){{{LIMIT},}}"
+TOO_LONG = f"[{ANY}](?:{_JOINS}){{{LIMIT},}}"
 
 
 @cache

@@ -1,9 +1,183 @@
-"""Registered queries of the kana library and their DuckDB counterparts."""
+"""Registered queries of the kana library and their DuckDB counterparts.
 
+The tables hold no kana, so texts are seeded by transliteration, in the same way by both engines.
+"""
 
-def queries():
-    return {}
+from __future__ import annotations
 
+from collections.abc import Callable
 
-def oracle_sql():
-    return {}
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from hakuspark.functions import access, core, edit, phonetic, search
+from hakuspark.functions.tables import CONVERSION_TABLE, HIRAGANA, KATAKANA, LONG, NOT_KANA, ROWS, SMALLS, VOWELS, mora_without_lookaround, split_morae
+from hakuspark.operators import mora_histogram
+
+Query = Callable[[SparkSession, str], DataFrame]
+
+FROM = "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789abcdefghijklmnopqrstuvwxyz"
+_KANA = "アバチデエフガャイジクルムンオプキラシツウヴヮセァゾゼイニサヨゴロナハク"
+TO = _KANA + _KANA[:26]
+#: For long vowels: frequent letters become vowels and the prolonged sound mark.
+TO_LONG = TO.translate(str.maketrans("ジクフ", "アウー"))
+#: For normalizing: some kana become hiragana or half-width.
+HALVES = {"バ": "ﾊﾞ", "プ": "ﾌﾟ", "ガ": "ｶﾞ"}
+SOFT = "アチデイムオキラシツセ"
+SOFT_TO = "あちでいむｵｷﾗｼﾂｾ"
+
+
+
+
+def seeded(text: Column, to: str = TO) -> Column:
+    return F.regexp_replace(F.translate(text, FROM, to), NOT_KANA, "")
+
+
+def documents(spark: SparkSession, sf_dir: str, to: str = TO) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", seeded(F.col("text"), to).alias("k"))
+
+
+def part_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", seeded(F.col("p_name")).alias("k"))
+
+
+def _per_document(to: str = TO, **columns: Callable[[Column], Column]) -> Query:
+    return lambda spark, sf_dir: documents(spark, sf_dir, to).select("doc_id", *(make(F.col("k")).alias(name) for name, make in columns.items()))
+
+
+RE2 = mora_without_lookaround()
+_K = f"regexp_replace(translate(text, '{FROM}', '{TO}'), '{NOT_KANA}', '', 'g')"
+_LONG_K = _K.replace(TO, TO_LONG)
+
+
+def _seeds(k: str = _K, table: str = "documents", key: str = "doc_id") -> str:
+    """k, its bracket form e and its morae m."""
+    return f"with s0 as (select {key}, {k} as k from {table}), t as (select {key}, k, regexp_replace(k, '{RE2}', '<\\0>', 'g') as e, regexp_extract_all(k, '{RE2}') as m from s0)\n"
+
+
+def _sql(k: str = _K, **columns: str) -> str:
+    return _seeds(k) + "select doc_id, " + ", ".join(f"{sql} as {name}" for name, sql in columns.items()) + " from t"
+
+
+def _form(needle: str) -> str:
+    return "".join(f"<{x}>" for x in split_morae(needle))
+
+
+def _marks(sql: str) -> str:
+    return f"(length({sql}) - length(replace({sql}, '<', '')))"
+
+
+def _find_sql(form: str, needle: str, start: str = "0") -> str:
+    n = _form(needle)
+    return f"cast(case when strpos({form}, '{n}') > 0 then {start} + {_marks(f"substr({form}, 1, strpos({form}, '{n}') - 1)")} else -1 end as int)"
+
+
+def _rfind_sql(needle: str) -> str:
+    n = _form(needle)
+    pos = f"(length(e) - strpos(reverse(e), '{n[::-1]}') - {len(n)} + 2)"
+    return f"cast(case when strpos(reverse(e), '{n[::-1]}') > 0 then {_marks(f'substr(e, 1, {pos} - 1)')} else -1 end as int)"
+
+
+def _checked(sql: str) -> str:
+    """The text of a bracket form, or null if it splits into other morae."""
+    return f"case when regexp_replace(translate({sql}, '<>', ''), '{RE2}', '<\\0>', 'g') = {sql} then translate({sql}, '<>', '') end"
+
+
+_PART = "(case when len(m[3:12]) > 0 then '<' || array_to_string(m[3:12], '><') || '>' else '' end)"
+#: A needle that is frequent in the seeded texts: two morae.
+_PAIR = "サニ"
+
+_QUERIES: dict[str, Query] = {}
+_ORACLES: dict[str, str] = {}
+
+
+def _add(name: str, query: Query, sql: str | None = None) -> None:
+    _QUERIES[name] = query
+    if sql:
+        _ORACLES[name] = sql
+
+
+_add("mora_count", _per_document(mora_count=lambda k: core.mora_count(k).cast("long")), _sql(mora_count="cast(len(m) as bigint)"))
+_add("count_all", lambda spark, sf_dir: spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", core.count_all(F.translate("text", FROM, TO), ignore=True).cast("long").alias("n")), _sql(_K.replace(FROM, FROM + '-').replace(TO, TO + LONG), n="cast(len(m) as bigint)"))
+
+
+def _soft(k: Column) -> Column:
+    for full, half in HALVES.items():
+        k = F.replace(k, F.lit(full), F.lit(half))
+    return F.translate(k, SOFT, SOFT_TO)
+
+
+_raw_sql = "k"
+for _full, _half in HALVES.items():
+    _raw_sql = f"replace({_raw_sql}, '{_full}', '{_half}')"
+_raw_sql = f"translate({_raw_sql}, '{SOFT}', '{SOFT_TO}')"
+_norm_sql = _raw_sql
+for _key in sorted((x for x in CONVERSION_TABLE if len(x) > 1)):
+    _norm_sql = f"replace({_norm_sql}, '{_key}', '{CONVERSION_TABLE[_key]}')"
+_single = [x for x in CONVERSION_TABLE if len(x) == 1]
+_norm_sql = f"translate({_norm_sql}, '{''.join(_single)}{HIRAGANA}', '{''.join(CONVERSION_TABLE[x] for x in _single)}{KATAKANA}')"
+_add("normalize", _per_document(raw=_soft, kana=lambda k: core.normalize(_soft(k))), _sql(raw=_raw_sql, kana=_norm_sql))
+_add("normalize_or_null", _per_document(kana=lambda k: core.mora_str(F.when(F.length(k) % 2 == 0, F.concat(k, F.lit("x"))).otherwise(k), errors="null")), _sql(kana="case when length(k) % 2 = 1 then k end"))
+_add("morae", _per_document(morae=lambda k: F.array_join(core.morae(k), "|")), _sql(morae="array_to_string(m, '|')"))
+_add("mora_repr", _per_document(repr=core.mora_repr), _sql(repr="case when k = '' then 'MoraStr()' else 'MoraStr(''' || array_to_string(m, ''' ''') || ''')' end"))
+_add("leading_small", _per_document(small=core.has_leading_small), _sql(small=f"regexp_matches(k, '^[{SMALLS}]')"))
+_add("item", _per_document(third=lambda k: access.item(k, 2, errors="null"), last=lambda k: access.item(k, -1, errors="null")), _sql(third="m[3]", last="m[-1]"))
+_add("slice", _per_document(head=lambda k: access.slice_morae(k, 1, 5), tail=lambda k: access.slice_morae(k, -4)), _sql(head="array_to_string(m[2:5], '')", tail="array_to_string(m[greatest(len(m) - 3, 1):], '')"))
+
+
+def _form_of(items: str) -> str:
+    return f"(case when len({items}) > 0 then '<' || array_to_string({items}, '><') || '>' else '' end)"
+
+
+_add("slice_step", _per_document(every=lambda k: access.slice_morae(k, 0, 20, 3, errors="null"), back=lambda k: access.slice_morae(k, 9, None, -1, errors="null")), _sql(every=_checked(_form_of("m[1:20:3]")), back=_checked(_form_of("list_reverse(m[1:10])"))))
+_add("reversed", _per_document(morae=lambda k: F.array_join(access.reversed_morae(k), "|")), _sql(morae="array_to_string(list_reverse(m), '|')"))
+_add("char_indices", _per_document(ends=lambda k: F.array_join(core.char_indices(access.slice_morae(k, 0, 30), zero=True).cast("array<string>"), ",")), _sql(ends="'0' || coalesce((select string_agg(',' || cast(length(array_to_string(m[1:i], '')) as varchar), '' order by i) from unnest(range(1, least(len(m), 30) + 1)) as u(i)), '')"))
+_add("mora_histogram", lambda spark, sf_dir: mora_histogram(documents(spark, sf_dir), F.col("k")), _seeds() + "select mora, count(*) as n from (select unnest(m) as mora from t) group by mora")
+_add("concat", _per_document(both=lambda k: access.concat(access.slice_morae(k, 0, 4), "カ"), same=lambda k: access.concat(access.slice_morae(k, 0, 3), access.slice_morae(k, 3, 6), errors="null")), _sql(both="array_to_string(m[1:4], '') || 'カ'", same=_checked(_form_of("m[1:6]"))))
+_add("repeat", _per_document(thrice=lambda k: access.repeat(access.slice_morae(k, 0, 4), 3, errors="null")), _sql(thrice=_checked(f"repeat({_form_of('m[1:4]')}, 3)")))
+_add("contains", _per_document(single=lambda k: search.contains(k, "ジ"), pair=lambda k: search.contains(k, _PAIR)), _sql(single="contains(e, '<ジ>')", pair=f"contains(e, '{_form(_PAIR)}')"))
+_add("startswith", _per_document(whole=lambda k: search.startswith(k, ("ア", "デ")), bounded=lambda k: search.startswith(k, "ャ", 2, 12)), _sql(whole="starts_with(e, '<ア>') or starts_with(e, '<デ>')", bounded=f"len(m) >= 2 and starts_with({_PART}, '<ャ>')"))
+_add("endswith", _per_document(whole=lambda k: search.endswith(k, ("ア", "デ")), bounded=lambda k: search.endswith(k, "ウ", 2, 12)), _sql(whole="ends_with(e, '<ア>') or ends_with(e, '<デ>')", bounded=f"len(m) >= 2 and ends_with({_PART}, '<ウ>')"))
+_add("equals_join", lambda spark, sf_dir: (names := part_names(spark, sf_dir)).groupBy("k").agg(F.count("*").alias("n")).join(names.select("k").distinct(), "k").select("k", "n"), f"select {_K.replace('text', 'p_name')} as k, count(*) as n from part group by 1")
+_add("find", _per_document(whole=lambda k: search.find(k, _PAIR), bounded=lambda k: search.find(k, "ウ", 2, 12)), _sql(whole=_find_sql("e", _PAIR), bounded=_find_sql(_PART, "ウ", "2")))
+_add("find_charwise", _per_document(at=lambda k: search.find(k, _PAIR, charwise=True)), _sql(at=f"cast(case when strpos(e, '{_form(_PAIR)}') > 0 then length(translate(substr(e, 1, strpos(e, '{_form(_PAIR)}') - 1), '<>', '')) else -1 end as int)"))
+_add("rfind", _per_document(at=lambda k: search.rfind(k, _PAIR)), _sql(at=_rfind_sql(_PAIR)))
+_add("index", _per_document(first=lambda k: search.index(k, _PAIR, errors="null"), last=lambda k: search.rindex(k, _PAIR, errors="null")), _sql(first=f"nullif({_find_sql('e', _PAIR)}, -1)", last=f"nullif({_rfind_sql(_PAIR)}, -1)"))
+_count_sql = lambda form, n: f"cast((length({form}) - length(replace({form}, '{_form(n)}', ''))) / {len(_form(n))} as int)"
+_add("count", _per_document(pair=lambda k: search.count(k, _PAIR), empty=lambda k: search.count(k, "")), _sql(pair=_count_sql("e", _PAIR), empty="cast(len(m) + 1 as int)"))
+_add("count_bounded", _per_document(n=lambda k: search.count(k, "ウ", 2, 12)), _sql(n=_count_sql(_PART, "ウ")))
+_add("finditer", _per_document(hits=lambda k: F.array_join(search.finditer(access.slice_morae(k, 0, 60), "ウ").cast("array<string>"), ",")), _sql(hits="coalesce((select string_agg(cast(i - 1 as varchar), ',' order by i) from unnest(range(1, least(len(m), 60) + 1)) as u(i) where m[i] = 'ウ'), '')"))
+_add("removeprefix", _per_document(kana=lambda k: edit.removeprefix(k, "ア")), _sql(kana="translate(case when starts_with(e, '<ア>') then substr(e, 4) else e end, '<>', '')"))
+_add("removesuffix", _per_document(kana=lambda k: edit.removesuffix(k, "ア")), _sql(kana="translate(case when ends_with(e, '<ア>') then substr(e, 1, length(e) - 3) else e end, '<>', '')"))
+_add("replace", _per_document(kana=lambda k: edit.replace(k, _PAIR, "トウ", errors="null")), _sql(kana=_checked(f"replace(e, '{_form(_PAIR)}', '<ト><ウ>')")))
+_add("replace_maxcount", _per_document(kana=lambda k: edit.replace(k, "ウ", "ノ", 1, errors="null")), _sql(kana=_checked("(case when strpos(e, '<ウ>') > 0 then substr(e, 1, strpos(e, '<ウ>') - 1) || '<ノ>' || substr(e, strpos(e, '<ウ>') + 3) else e end)")))
+_add("insert_between", _per_document(kana=lambda k: edit.replace(access.slice_morae(k, 0, 20), "", "ト", errors="null")), _sql(kana=_checked(f"('<ト>' || replace({_form_of('m[1:20]')}, '>', '><ト>'))")))
+
+
+def _choon_sql(ou: bool = False, ei: bool = False) -> str:
+    rules = phonetic._rules(ou, ei, True)
+    return f"regexp_replace(k, '{'|'.join(f'([{b}])[{x}]' for b, x in rules)}', '{''.join(f'\\{i + 1}' for i in range(len(rules)))}{LONG}', 'g')"
+
+
+def _vowel_sql(runs: int) -> str:
+    sql = "k"
+    for _ in range(runs):
+        for vowel, kana in VOWELS.items():
+            sql = f"regexp_replace({sql}, '([{ROWS[vowel]}]){LONG}', '\\1{kana}', 'g')"
+    return sql
+
+
+_add("vowel_to_choon", _per_document(TO_LONG, plain=phonetic.vowel_to_choon, ou_ei=lambda k: phonetic.vowel_to_choon(k, ou=True, ei=True)), _sql(_LONG_K, plain=_choon_sql(), ou_ei=_choon_sql(True, True)))
+_add("vowel_to_choon_runs", _per_document(TO_LONG, kana=lambda k: phonetic.vowel_to_choon(k, -1)))
+# SQL has no way to take a run of any length: runs of up to four marks are replaced there, and longer ones are compared as null.
+_add("choon_to_vowel", _per_document(TO_LONG, kana=lambda k: F.when(~k.rlike(LONG * 5), phonetic.choon_to_vowel(k, strict=False))), _sql(_LONG_K, kana=f"case when not contains(k, '{LONG * 5}') then {_vowel_sql(4)} end"))
+_add("fromstrs", _per_document(kana=lambda k: core.from_strs(F.substring(k, 1, 5), ["シ", "ャ"], F.substring(k, 6, 5))), _sql(kana="substr(k, 1, 5) || 'シャ' || substr(k, 6, 5)"))
+_add("table_override", lambda spark, sf_dir: spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", core.normalize(F.lower("p_name"), ignore=True, table={"a": "ア", "e": "エ", "ing": "ン", "o": "オ"}).alias("kana")), f"select p_partkey, regexp_replace(translate(replace(lower(p_name), 'ing', 'ン'), 'aeo', 'アエオ'), '{NOT_KANA}', '', 'g') as kana from part")
+
+
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(_ORACLES)
