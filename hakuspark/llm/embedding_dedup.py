@@ -97,7 +97,7 @@ class CoverTree:
             members = order[start[node] : end[node]]
             if len(members) <= LEAF or radius < 1e-3:
                 continue
-            at = members == order[center[node]]
+            at = members == center[node]
             members = np.concatenate((members[at], members[~at]))
             owner = _cover(points[members].astype(np.float32), radius / 2)
             groups = np.argsort(owner, kind="stable")
@@ -110,7 +110,7 @@ class CoverTree:
             for i in sorted(range(len(lots)), key=lambda i: -wide[i]):
                 lot = np.concatenate(([heads[i]], lots[i][lots[i] != heads[i]]))
                 order[at : at + len(lot)] = lot
-                center.append(at)
+                center.append(heads[i])
                 start.append(at)
                 end.append(at + len(lot))
                 reach.append(wide[i])
@@ -121,6 +121,9 @@ class CoverTree:
                 at += len(lot)
             last[node] = len(center)
         self.points, self.ids, self.weights = points[order], ids[order], weights[order]
+        place = np.empty_like(order)
+        place[order] = np.arange(len(order))
+        center = place[np.array(center)]  # points move while their nodes are split, so centres are found again last
         self.center, self.start, self.end, self.first, self.last = (np.array(x, np.int64) for x in (center, start, end, first, last))
         self.reach = np.array(reach)
 
