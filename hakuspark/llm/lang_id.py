@@ -11,7 +11,7 @@ GRAMS most frequent, seen at least twice, and not SHARE times as frequent in ano
 Defined cases: a text that is null or has no letter is ``und`` with score 0; a text of unknown n-grams gets the
 first language by name with score 0; without any labelled row all are ``und``; ties go to the first name;
 repeated rows are each judged; other columns of the input are ignored. Texts are read whole, in slices of SLICE
-characters that overlap by the n-gram length.
+characters that overlap by the n-gram length; at a cut, a run between words may be read as a shorter one.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hakuspark.llm.common import table
+from hakuspark.llm.common import masked, table
 
 N = 4
 SAMPLE_DOCS = 1_500
@@ -174,20 +174,21 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", sample_docs
 
 def predict(docs: DataFrame, model: LanguageModel, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """docs' columns in keep (default: all), then lang_pred and score, which replace columns of those names."""
-    keep = [c for c in (docs.columns if keep is None else keep) if c not in ("lang_pred", "score")]
-    fields = [docs.schema[c] for c in keep]
+    kept = docs.select(*(F.col(f"`{c}`") for c in (docs.columns if keep is None else keep) if c not in ("lang_pred", "score")))
+    inner = masked(kept)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
     def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             texts = [t if isinstance(t, str) else None for t in batch["_text"]]
-            kept = batch.drop(columns="_text")
-            kept["lang_pred"], kept["score"] = shared.value.predict(texts)
-            yield kept
+            out = batch.drop(columns="_text")
+            out["lang_pred"], out["score"] = shared.value.predict(texts)
+            yield out
 
-    schema = StructType([*fields, StructField("lang_pred", StringType()), StructField("score", DoubleType())])
-    return docs.select(*(F.col(f"`{c}`") for c in keep), F.col(text).alias("_text")).mapInPandas(judge, schema)
+    schema = StructType([*inner.schema.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType())])
+    source = docs.select(*(F.col(f"`{c}`").alias(n) for c, n in zip(kept.columns, inner.columns)), F.col(f"`{text}`").alias("_text"))
+    return source.mapInPandas(judge, schema).toDF(*kept.columns, "lang_pred", "score")
 
 
 def held_out(doc_id: Column) -> Column:
