@@ -39,6 +39,9 @@ CENTERS = 8
 BLOCK_ROWS = 8_192
 LEAF = 64
 TILE = 2_048
+#: Pairs of nodes with at most so many pairs of points are not descended further; points are compared in such lots.
+FEW = 256
+LOT = 100_000
 #: More than single precision can be off by, in a cosine and in a distance.
 MARGIN, FAR = 2e-5, 1e-4
 
@@ -176,12 +179,40 @@ class Links:
                     right = j >= i + at
                     i, j = i[right], j[right]
                 whole = np.sqrt(np.maximum(0, 2 - 2 * cos[i, j])) + a.reach[part[i]] + b.reach[two[j]] < self.distance - FAR
-                for x, y, full in zip(part[i].tolist(), two[j].tolist(), whole.tolist()):
+                x, y = part[i], two[j]
+                few = (a.end[x] - a.start[x]) * (b.end[y] - b.start[y]) <= FEW
+                self._few(x[few], y[few], half)
+                for x, y, full in zip(x[~few].tolist(), y[~few].tolist(), whole[~few].tolist()):
                     if full and not (half and x == y):
                         self._all(x, y)
                     else:
                         yield x, y
 
+    def _few(self, x: np.ndarray, y: np.ndarray, half: bool) -> None:
+        """All points of many pairs of small nodes at once."""
+        a, b = self.a, self.b
+        size = b.end[y] - b.start[y]
+        each = (a.end[x] - a.start[x]) * size
+        for lot in np.split(np.arange(len(x)), np.searchsorted(np.cumsum(each), np.arange(LOT, int(each.sum()), LOT))):
+            of = np.repeat(lot, each[lot])
+            at = np.arange(len(of)) - np.repeat(np.cumsum(each[lot]) - each[lot], each[lot])
+            p, q = a.start[x[of]] + at // size[of], b.start[y[of]] + at % size[of]
+            if half:
+                p, q = p[(x[of] != y[of]) | (p < q)], q[(x[of] != y[of]) | (p < q)]
+            self._settle(p, q, np.einsum("ij,ij->i", a.fast[p], b.fast[q]) >= np.float32(self.threshold - MARGIN))
+
+    def _settle(self, p: np.ndarray, q: np.ndarray, near: np.ndarray) -> None:
+        """Compare the near pairs of points in double precision, and count and unite the links among them."""
+        a, b = self.a, self.b
+        p, q = p[near], q[near]
+        for k in range(0, len(p), LOT):
+            x, y = p[k : k + LOT], q[k : k + LOT]
+            linked = np.einsum("ij,ij->i", a.points[x], b.points[y]) >= self.threshold
+            x, y = x[linked], y[linked]
+            np.add.at(self.counts, x, b.weights[y])
+            np.add.at(self.counts, y + self.shift, a.weights[x])
+            unite(self.parent, x, y + self.shift)
+
     def _all(self, x: int, y: int) -> None:
         """Every point below x is linked with every point below y, which is another node."""
         one, two = slice(self.a.start[x], self.a.end[x]), slice(self.shift + self.b.start[y], self.shift + self.b.end[y])
@@ -199,13 +230,7 @@ class Links:
             if own:
                 right = j + before > i + at
                 i, j = i[right], j[right]
-            for k in range(0, len(i), 100_000):
-                x, y = part[i[k : k + 100_000]], rest[j[k : k + 100_000]]
-                linked = np.einsum("ij,ij->i", a.points[x], b.points[y]) >= self.threshold
-                x, y = x[linked], y[linked]
-                self.counts += np.bincount(x, b.weights[y], len(self.counts)).astype(np.int64)
-                self.counts += np.bincount(y + self.shift, a.weights[x], len(self.counts)).astype(np.int64)
-                unite(self.parent, x, y + self.shift)
+            self._settle(part[i], rest[j], np.ones(len(i), np.bool_))
 
 
 def _link_blocks(lots: list[int], allowed: np.ndarray, dims: int, threshold: float):
