@@ -311,5 +311,18 @@ def op1_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+ORACLE_SQL = r"""
+with recursive v as (
+  select vec_id, cast(embedding as double[]) as e from embeddings
+), good as (
+  select vec_id, e from v where e is not null and len([x for x in e if x is null or not isfinite(x)]) = 0 and len([x for x in e if x <> 0]) > 0
+), links as (
+  select a.vec_id as a, b.vec_id as b from good a join good b on a.vec_id <> b.vec_id and list_cosine_similarity(a.e, b.e) >= 0.95
+), reach(a, b) as (select a, b from links union select r.a, l.b from reach r join links l on r.b = l.a),
+least as (select a, min(b) as b from reach group by a), counts as (select a, count(*) as n from links group by a)
+select vec_id, coalesce(n, 0) as n_links, least(vec_id, coalesce(l.b, vec_id)) as component_id, vec_id = least(vec_id, coalesce(l.b, vec_id)) as kept
+from v left join counts c on c.a = vec_id left join least l on l.a = vec_id
+"""
+
 QUERIES = {"op1_embedding_dedup": op1_embedding_dedup}
-ORACLES: dict[str, str] = {}
+ORACLES = {"op1_embedding_dedup": ORACLE_SQL}

@@ -180,5 +180,17 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return new.unionByName(again.select("page_id", F.col("_bytes").alias("payload_bytes"), F.col("_digest").alias("payload_digest"), "record_type", F.col("_page").alias("refers_to")))
 
 
+ORACLE_SQL = r"""
+with hashed as (
+  select page_id, cast(octet_length(encode(coalesce(html, ''))) as bigint) as payload_bytes, sha1(coalesce(html, '')) as hex from pages
+), coded as (
+  select page_id, payload_bytes, array_to_string([
+    substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((cast('0x' || substr(hex, cast(5 * i + 1 as int), 5) as int) >> 15) & 31) + 1, 1) || substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((cast('0x' || substr(hex, cast(5 * i + 1 as int), 5) as int) >> 10) & 31) + 1, 1) || substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((cast('0x' || substr(hex, cast(5 * i + 1 as int), 5) as int) >> 5) & 31) + 1, 1) || substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((cast('0x' || substr(hex, cast(5 * i + 1 as int), 5) as int) >> 0) & 31) + 1, 1)
+    for i in range(8)], '') as payload_digest from hashed
+), firsts as (select *, min(page_id) over (partition by payload_digest, payload_bytes) as first_id from coded)
+select page_id, payload_bytes, payload_digest, case when page_id = first_id then 'response' else 'revisit' end as record_type,
+       case when page_id <> first_id then first_id end as refers_to from firsts
+"""
+
 QUERIES = {"op2_warc": op2_warc}
-ORACLES: dict[str, str] = {}
+ORACLES = {"op2_warc": ORACLE_SQL}
