@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 #: A side of a join is broadcast only if it has at most so many rows (of a few numbers each).
 BROADCAST_ROWS = 100_000
+#: Whole texts that Python workers get at once.
+TEXT_ROWS = 1_000
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -26,6 +28,13 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Lower the session's Arrow batches to TEXT_ROWS rows, as a batch of whole texts would be large otherwise."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= TEXT_ROWS:
+        spark.conf.set(name, TEXT_ROWS)
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """df written to shared storage and read again: cuts the lineage, survives lost executors."""
     path = scratch(df.sparkSession, name)

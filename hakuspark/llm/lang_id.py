@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hakuspark.llm.common import masked, table
+from hakuspark.llm.common import masked, small_batches, table
 
 N = 4
 SAMPLE_DOCS = 1_500
@@ -32,7 +32,8 @@ SHARE = 4.0
 SLOT_BITS = 18
 PROBES = 3
 MAX_LANGUAGES = 64
-SLICE = 1_000_000
+SLICE = 200_000
+LOT_ROWS = 500
 
 _cache: dict[str, np.ndarray] = {}
 
@@ -146,6 +147,7 @@ class LanguageModel:
 def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", sample_docs: int = SAMPLE_DOCS, grams: int = GRAMS) -> LanguageModel:
     """Learn from rows with text and lang; reads a sample of about sample_docs rows a language."""
     rows = labelled.select(F.col(text).alias("t"), F.col(lang).alias("l")).where("t is not null and l is not null")
+    small_batches(labelled.sparkSession)
     sizes = {r["l"]: r["n"] for r in rows.groupBy("l").agg(F.count("*").alias("n")).collect()}
     if len(sizes) > MAX_LANGUAGES:
         raise ValueError(f"at most {MAX_LANGUAGES} languages")
@@ -176,15 +178,16 @@ def predict(docs: DataFrame, model: LanguageModel, text: str = "text", keep: lis
     """docs' columns in keep (default: all), then lang_pred and score, which replace columns of those names."""
     kept = docs.select(*(F.col(f"`{c}`") for c in (docs.columns if keep is None else keep) if c not in ("lang_pred", "score")))
     inner = masked(kept)
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
     def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            texts = [t if isinstance(t, str) else None for t in batch["_text"]]
-            out = batch.drop(columns="_text")
-            out["lang_pred"], out["score"] = shared.value.predict(texts)
-            yield out
+            for at in range(0, len(batch), LOT_ROWS):
+                lot = batch.iloc[at : at + LOT_ROWS]
+                labels, scores = shared.value.predict([t if isinstance(t, str) else None for t in lot["_text"]])
+                yield lot.drop(columns="_text").assign(lang_pred=labels, score=scores)
 
     schema = StructType([*inner.schema.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType())])
     source = docs.select(*(F.col(f"`{c}`").alias(n) for c, n in zip(kept.columns, inner.columns)), F.col(f"`{text}`").alias("_text"))

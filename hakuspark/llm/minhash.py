@@ -25,7 +25,6 @@ id; null ids are kept; other columns are ignored. Texts are read whole.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
@@ -33,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hakuspark.llm.common import mask_of, masked, small, stored, table, unmasked
+from hakuspark.llm.common import mask_of, masked, small, small_batches, stored, table, unmasked
 from hakuspark.llm.components import components, roots, unite
 from hakuspark.llm.packing import _nullable
 
@@ -46,7 +45,7 @@ SMALL = 16
 PART_TEXTS = 1_024
 PART_SHINGLES = 500_000
 CHUNK = 2_048
-ARROW_ROWS = 1_000
+LOT_ROWS = 500
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
 _MULTIPLIERS = (np.random.Generator(np.random.PCG64(7)).integers(1, 1 << 31, PERMUTATIONS, dtype=np.uint64) * 2 + 1).astype(np.uint32)[:, None]
 
@@ -96,25 +95,13 @@ def bands(signatures: np.ndarray) -> np.ndarray:
     return out.view(np.int64)
 
 
-@contextmanager
-def arrow_rows(spark: SparkSession, rows: int):
-    """Smaller Arrow batches while a table of large rows is written."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(name)
-    spark.conf.set(name, rows)
-    try:
-        yield
-    finally:
-        spark.conf.set(name, before)
-
-
 def sketch(docs: DataFrame, words: int, key: str, text: str) -> DataFrame:
     """_key, n_shingles, h1, h2 and bands of every row; rows without shingles have null bands and a null h2."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for at in range(0, len(batch), 500):
-                part = batch.iloc[at : at + 500]
+            for at in range(0, len(batch), LOT_ROWS):
+                part = batch.iloc[at : at + LOT_ROWS]
                 sets = [shingles(t if isinstance(t, str) else None, words) for t in part["_text"]]
                 full = [i for i, s in enumerate(sets) if len(s)]
                 found = [None] * len(sets)
@@ -135,12 +122,13 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame, words: int, key: str, text:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = []
-            for cid, h1, h2, t in zip(batch["cid"], batch["h1"], batch["h2"], batch["_text"]):
-                found = shingles(t, words)
-                if digest(found) == (h1, h2):
-                    rows.append((cid, found.tobytes()))
-            yield pd.DataFrame(rows, columns=["cid", "set"])
+            for at in range(0, len(batch), LOT_ROWS):
+                lot, rows = batch.iloc[at : at + LOT_ROWS], []
+                for cid, h1, h2, t in zip(lot["cid"], lot["h1"], lot["h2"], lot["_text"]):
+                    found = shingles(t, words)
+                    if digest(found) == (h1, h2):
+                        rows.append((cid, found.tobytes()))
+                yield pd.DataFrame(rows, columns=["cid", "set"])
 
     source = docs.select(F.col(key).cast("long").alias("_key"), F.col(text).alias("_text")).where(F.col("_text").isNotNull())
     found = source.join(small(wanted, wanted.count()), F.col("_key").eqNullSafe(F.col("min_key"))).select("cid", "h1", "h2", "_text")
@@ -202,8 +190,7 @@ def compare(groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     connect all that is linked there, through labels too; links that would connect nothing more may be missing.
     """
     rows = groups.join(sets, "cid").select("gid", "side", "cid", "label", "set").repartition("gid").sortWithinPartitions("gid", "side", "cid")
-    with arrow_rows(groups.sparkSession, ARROW_ROWS):
-        return stored(rows.mapInPandas(_match(percent), "a long, b long"), "links")
+    return stored(rows.mapInPandas(_match(percent), "a long, b long"), "links")
 
 
 def _parts(texts, total):
@@ -252,6 +239,7 @@ def _large_buckets(open_: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Return key, n_shingles, component_id and kept for every row."""
+    small_batches(docs.sparkSession)
     sketches = stored(sketch(docs, words, key, text), "sketches")
     first = sketches.where("h2 is not null").groupBy("h1", "h2").agg(F.min("_key").alias("min_key"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
     classes = stored(first.withColumn("cid", F.monotonically_increasing_id()), "classes")
@@ -269,7 +257,8 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     if more.take(1):
         joined = components(links.unionByName(more))
     ids = classes.select("cid", "h1", "h2", "min_key").join(joined, F.col("cid") == F.col("node"), "left").withColumn("root", F.coalesce("root", "cid"))
-    least = ids.groupBy("root").agg(F.min("min_key").alias("least_key"))
+    # Stored, so that the join reads two exchanges and a large group's part can be split.
+    least = stored(ids.groupBy("root").agg(F.min("min_key").alias("least_key")), "least")
     done = ids.join(least, "root").select("h1", "h2", "least_key")
     out = sketches.select("_key", "n_shingles", "h1", "h2").join(done, ["h1", "h2"], "left")
     component = F.when(F.col("h2").isNull(), F.col("_key")).otherwise(F.col("least_key"))
@@ -303,5 +292,20 @@ def op7_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), words=2)
 
 
+#: All pairs that share a shingle; for small tables.
+ORACLE_SQL = r"""
+with recursive words as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents
+), shingled as (
+  select distinct doc_id, unnest(case when len(w) = 0 then [] when len(w) = 1 then w else [w[i] || ' ' || w[i + 1] for i in range(1, len(w))] end) as s from words
+), sizes as (select doc_id, count(*) as n from shingled group by doc_id),
+shared as (select x.doc_id as a, y.doc_id as b, count(*) as n from shingled x join shingled y on x.s = y.s and x.doc_id <> y.doc_id group by 1, 2),
+links as (select a, b from shared join sizes p on p.doc_id = a join sizes q on q.doc_id = b where 100 * shared.n >= 80 * (p.n + q.n - shared.n)),
+reach(a, b) as (select a, b from links union select r.a, l.b from reach r join links l on r.b = l.a),
+least as (select a, min(b) as b from reach group by a)
+select d.doc_id, coalesce(s.n, 0) as n_shingles, least(d.doc_id, coalesce(l.b, d.doc_id)) as component_id, d.doc_id = least(d.doc_id, coalesce(l.b, d.doc_id)) as kept
+from documents d left join sizes s on s.doc_id = d.doc_id left join least l on l.a = d.doc_id
+"""
+
 QUERIES = {"op7_minhash_dedup": op7_minhash_dedup}
-ORACLES: dict[str, str] = {}
+ORACLES = {"op7_minhash_dedup": ORACLE_SQL}

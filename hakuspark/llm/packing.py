@@ -24,13 +24,14 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from hakuspark.llm.common import small, stored, table
+from hakuspark.llm.common import small, small_batches, stored, table
 from hakuspark.llm.tokens import WordTokenizer, vocabulary_path
 
 CAPACITY = 2048
 END_ID = 1
 TOKENIZER = "word_bpe_49k.json"
 BUCKET_ROWS = 5_000
+LOT_ROWS = 500
 _RANKS = np.int64(1) << 44
 
 
@@ -40,14 +41,14 @@ def cut_documents(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id:
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         tokenizer = WordTokenizer.held(path)
         for batch in batches:
-            rows = {n: [] for n in ("_key", "start", "length", "doc_tokens", "ids_crc32", "ids")}
-            for doc, t in zip(batch["_key"], batch["_text"]):
-                ids = np.append(tokenizer.encode(t) if isinstance(t, str) else [], end_id).astype("<u4")
-                for at in range(0, len(ids), capacity):
-                    part = ids[at : at + capacity].tobytes()
-                    for name, value in zip(rows, (doc, at, len(part) // 4, len(ids), zlib.crc32(part), part)):
-                        rows[name].append(value)
-            yield pd.DataFrame(rows)
+            for first in range(0, len(batch), LOT_ROWS):
+                lot, rows = batch.iloc[first : first + LOT_ROWS], []
+                for doc, t in zip(lot["_key"], lot["_text"]):
+                    ids = np.append(tokenizer.encode(t) if isinstance(t, str) else [], end_id).astype("<u4")
+                    for at in range(0, len(ids), capacity):
+                        part = ids[at : at + capacity].tobytes()
+                        rows.append((doc, at, len(part) // 4, len(ids), zlib.crc32(part), part))
+                yield pd.DataFrame(rows, columns=["_key", "start", "length", "doc_tokens", "ids_crc32", "ids"])
 
     source = docs.select(F.col(key).cast("long").alias("_key"), F.col(text).alias("_text"))
     return source.mapInPandas(_nullable(cut), "_key long, start long, length long, doc_tokens long, ids_crc32 long, ids binary")
@@ -186,6 +187,7 @@ def _place(plan: Plan, with_ids: bool):
 
 def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = False, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Return key, start, length, ids_crc32, doc_tokens, sequence_id and offset for every piece, and its ids if asked."""
+    small_batches(docs.sparkSession)
     pieces = stored(cut_documents(docs, path, capacity, end_id, key, text), "pieces")
     histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
     plan = plan_windows(histogram, capacity)

@@ -9,8 +9,8 @@ from itertools import chain
 
 import numpy as np
 
-MEMO_PARTS = 600_000
-MEMO_SIZE = 24_000_000
+MEMO_PARTS = 300_000
+MEMO_SIZE = 12_000_000
 
 
 def vocabulary_path(name: str) -> str:
@@ -115,7 +115,8 @@ class WordTokenizer:
         # Lower case first, unless a combining mark follows (U+0300 to U+036F) or a special token is spelled out.
         if b"\xcc" not in data and b"\xcd" not in data and b"<|" not in data:
             data = data.lower()
-        return self.memo.ids(_END.sub(rb"\1 \2", data).split())
+        return self.memo.ids(_END.sub(rb" \g<0>", data).split())
 
 
-_END = re.compile(rb"([a-z])([.,])(?=[ \n]|$)")
+#: A full stop or comma after a letter, at the end of a word; the sign stands first, as few places hold one.
+_END = re.compile(rb"[.,](?<=[a-z][.,])(?=[ \n]|$)")
