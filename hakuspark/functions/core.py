@@ -138,6 +138,11 @@ def marks(brackets: Column) -> Column:
     return F.length(brackets) - F.length(F.replace(brackets, F.lit("<")))
 
 
+def places(text: Column, mark: str) -> Column:
+    """The 0-based positions of a character, in time that grows with the text only."""
+    return F.filter(F.transform(F.split(text, ""), lambda c, i: F.when(c == mark, i)), lambda i: i.isNotNull())
+
+
 def well_formed(brackets: Column, errors: str = "raise", message: str = "ill-formed mora string") -> Column:
     """The text of a bracket form, if splitting it again gives the same morae."""
     return let(brackets, lambda form: let(decoded(form), lambda text: failing(encoded(text) != form, message, text, errors)))

@@ -6,7 +6,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from hakuspark.functions.access import Bound, bounds, part_brackets
-from hakuspark.functions.core import Text, brackets_of, encoded, failing, kana_of, let, marks, mora_count
+from hakuspark.functions.core import Text, brackets_of, encoded, failing, kana_of, let, marks, mora_count, places
+
+#: A character that no text of this library holds, in place of a hit.
+HIT = "\ue000"
 
 
 def _beyond(start: Bound, size: Column) -> Column:
@@ -111,12 +114,13 @@ def _ends(form: Column, charwise: bool) -> Column:
     """All places between morae."""
     if not charwise:
         return F.sequence(F.lit(0), marks(form))
-    return F.aggregate(F.split(F.translate(form, ">", ""), "<"), F.array(F.lit(0)), lambda acc, x: F.when(x == "", acc).otherwise(F.concat(acc, F.array(F.element_at(acc, -1) + F.length(x)))))
+    # Every mora's end stands behind the closing brackets before it.
+    return F.concat(F.array(F.lit(0)), F.transform(places(F.replace(form, F.lit("<")), ">"), lambda at, i: at - i))
 
 
 def _hits(form: Column, wanted: Column, charwise: bool) -> Column:
-    """Where the needle stands: after each piece between needles, and the needles before."""
-    length = (lambda x: F.length(x) - 2 * marks(x)) if charwise else marks
-    pieces = F.split(form, F.concat(F.lit("\\Q"), wanted, F.lit("\\E")), -1)
-    firsts = let(pieces, lambda p: F.slice(p, F.lit(1), F.size(p) - 1))
-    return let(length(wanted), lambda step: F.aggregate(firsts, F.array().cast("array<int>"), lambda acc, x: F.concat(acc, F.array((F.coalesce(F.try_element_at(acc, F.lit(-1)) + step, F.lit(0)) + length(x)).cast("int")))))
+    """Where the needle stands: each hit becomes one mark, among one character for each mora (or character) between."""
+    marked = F.replace(form, wanted, F.lit(HIT))
+    thin = F.translate(marked, "<>", "") if charwise else F.regexp_replace(marked, f"[^<{HIT}]", "")
+    length = F.length(wanted) - 2 * marks(wanted) if charwise else marks(wanted)
+    return let(length, lambda step: F.transform(places(thin, HIT), lambda at, i: (at + i * (step - 1)).cast("int")))

@@ -147,6 +147,7 @@ _count_sql = lambda form, n: f"cast((length({form}) - length(replace({form}, '{_
 _add("count", _per_document(pair=lambda k: search.count(k, _PAIR), empty=lambda k: search.count(k, "")), _sql(pair=_count_sql("e", _PAIR), empty="cast(len(m) + 1 as int)"))
 _add("count_bounded", _per_document(n=lambda k: search.count(k, "ウ", 2, 12)), _sql(n=_count_sql(_PART, "ウ")))
 _add("finditer", _per_document(hits=lambda k: F.array_join(search.finditer(access.slice_morae(k, 0, 60), "ウ").cast("array<string>"), ",")), _sql(hits="coalesce((select string_agg(cast(i - 1 as varchar), ',' order by i) from unnest(range(1, least(len(m), 60) + 1)) as u(i) where m[i] = 'ウ'), '')"))
+_add("finditer_whole", _per_document(hits=lambda k: F.array_join(search.finditer(k, "ウ").cast("array<string>"), ",")))
 _add("removeprefix", _per_document(kana=lambda k: edit.removeprefix(k, "ア")), _sql(kana="translate(case when starts_with(e, '<ア>') then substr(e, 4) else e end, '<>', '')"))
 _add("removesuffix", _per_document(kana=lambda k: edit.removesuffix(k, "ア")), _sql(kana="translate(case when ends_with(e, '<ア>') then substr(e, 1, length(e) - 3) else e end, '<>', '')"))
 _add("replace", _per_document(kana=lambda k: edit.replace(k, _PAIR, "トウ", errors="null")), _sql(kana=_checked(f"replace(e, '{_form(_PAIR)}', '<ト><ウ>')")))
