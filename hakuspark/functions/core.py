@@ -111,9 +111,10 @@ def mora_repr(kana: Column) -> Column:
 
 def char_indices(kana: Column, *, zero: bool = False) -> Column:
     """The position in characters after each mora; with zero, 0 stands first."""
-    start = F.array(F.lit(0))
-    ends = F.aggregate(morae(kana), start, lambda acc, m: F.concat(acc, F.array(F.element_at(acc, -1) + F.length(m))))
-    return ends if zero else F.slice(ends, F.lit(2), F.size(ends))
+    # Each blank between morae stands behind as many characters as the mora's end, and the blanks before it.
+    between = lambda m: F.transform(places(F.array_join(m, " "), " "), lambda at, i: at - i)
+    ends = let(morae(kana), lambda m: F.when(F.size(m) > 0, F.concat(between(m), F.array(F.length(F.array_join(m, ""))))).when(m.isNotNull(), F.array().cast("array<int>")))
+    return F.concat(F.array(F.lit(0)), ends) if zero else ends
 
 
 def literal(text: str, ignore: bool = False) -> str:

@@ -132,6 +132,7 @@ def _form_of(items: str) -> str:
 _add("slice_step", _per_document(every=lambda k: access.slice_morae(k, 0, 20, 3, errors="null"), back=lambda k: access.slice_morae(k, 9, None, -1, errors="null")), _sql(every=_checked(_form_of("m[1:20:3]")), back=_checked(_form_of("list_reverse(m[1:10])"))))
 _add("reversed", _per_document(morae=lambda k: F.array_join(access.reversed_morae(k), "|")), _sql(morae="array_to_string(list_reverse(m), '|')"))
 _add("char_indices", _per_document(ends=lambda k: F.array_join(core.char_indices(access.slice_morae(k, 0, 30), zero=True).cast("array<string>"), ",")), _sql(ends="'0' || coalesce((select string_agg(',' || cast(length(array_to_string(m[1:i], '')) as varchar), '' order by i) from unnest(range(1, least(len(m), 30) + 1)) as u(i)), '')"))
+_add("char_indices_whole", _per_document(ends=lambda k: F.array_join(core.char_indices(k, zero=True).cast("array<string>"), ",")))
 _add("mora_histogram", lambda spark, sf_dir: mora_histogram(documents(spark, sf_dir), F.col("k")), _seeds() + "select mora, count(*) as n from (select unnest(m) as mora from t) group by mora")
 _add("concat", _per_document(both=lambda k: access.concat(access.slice_morae(k, 0, 4), "カ"), same=lambda k: access.concat(access.slice_morae(k, 0, 3), access.slice_morae(k, 3, 6), errors="null")), _sql(both="array_to_string(m[1:4], '') || 'カ'", same=_checked(_form_of("m[1:6]"))))
 _add("repeat", _per_document(thrice=lambda k: access.repeat(access.slice_morae(k, 0, 4), 3, errors="null")), _sql(thrice=_checked(f"repeat({_form_of('m[1:4]')}, 3)")))

@@ -1,11 +1,12 @@
 """Registered queries that take whole texts, against the plain model, on documents and on long texts."""
 
 import time
+from itertools import accumulate
 
 import pytest
 from pyspark.sql import functions as F
 
-from hakuspark.functions import search
+from hakuspark.functions import core, search
 from hakuspark.plans import catalog
 from tests import model as M
 
@@ -43,3 +44,13 @@ def test_finditer_long(spark):
     assert within(spark, search.finditer(F.col("k"), "ウ"), text, 20) == M.hits(M.morae(text), ["ウ"])
     assert within(spark, search.finditer(F.col("k"), "ウカ", charwise=True), text, 20) == list(range(3, 200_000, 5))
     assert within(spark, search.finditer(F.col("k"), "", charwise=True), text, 20)[-3:] == [199_998, 199_999, 200_000]
+
+
+def test_char_indices(spark, seeds):
+    assert sum(len(m) > 30 for m in seeds.values()) > 100  # beyond what the query char_indices takes
+    against(spark, seeds, "char_indices_whole", lambda m: {"ends": ",".join(map(str, accumulate(map(len, m), initial=0)))})
+
+
+def test_char_indices_long(spark):
+    text = "ショウカァ" * 50_000
+    assert within(spark, core.char_indices(F.col("k")), text, 20) == list(accumulate(map(len, M.morae(text))))
