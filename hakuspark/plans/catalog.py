@@ -130,12 +130,19 @@ def _form_of(items: str) -> str:
 
 
 _add("slice_step", _per_document(every=lambda k: access.slice_morae(k, 0, 20, 3, errors="null"), back=lambda k: access.slice_morae(k, 9, None, -1, errors="null")), _sql(every=_checked(_form_of("m[1:20:3]")), back=_checked(_form_of("list_reverse(m[1:10])"))))
+def _half(n: Column) -> Column:
+    return F.floor(n / 2).cast("int")
+
+
+_add("slice_step_whole", _per_document(every=lambda k: access.slice_morae(k, None, None, 3, errors="null"), back=lambda k: access.slice_morae(k, None, None, -1, errors="null")), _sql(every=_checked(_form_of("m[1:len(m):3]")), back=_checked(_form_of("list_reverse(m)"))))
 _add("reversed", _per_document(morae=lambda k: F.array_join(access.reversed_morae(k), "|")), _sql(morae="array_to_string(list_reverse(m), '|')"))
 _add("char_indices", _per_document(ends=lambda k: F.array_join(core.char_indices(access.slice_morae(k, 0, 30), zero=True).cast("array<string>"), ",")), _sql(ends="'0' || coalesce((select string_agg(',' || cast(length(array_to_string(m[1:i], '')) as varchar), '' order by i) from unnest(range(1, least(len(m), 30) + 1)) as u(i)), '')"))
 _add("char_indices_whole", _per_document(ends=lambda k: F.array_join(core.char_indices(k, zero=True).cast("array<string>"), ",")))
 _add("mora_histogram", lambda spark, sf_dir: mora_histogram(documents(spark, sf_dir), F.col("k")), _seeds() + "select mora, count(*) as n from (select unnest(m) as mora from t) group by mora")
 _add("concat", _per_document(both=lambda k: access.concat(access.slice_morae(k, 0, 4), "カ"), same=lambda k: access.concat(access.slice_morae(k, 0, 3), access.slice_morae(k, 3, 6), errors="null")), _sql(both="array_to_string(m[1:4], '') || 'カ'", same=_checked(_form_of("m[1:6]"))))
 _add("repeat", _per_document(thrice=lambda k: access.repeat(access.slice_morae(k, 0, 4), 3, errors="null")), _sql(thrice=_checked(f"repeat({_form_of('m[1:4]')}, 3)")))
+_add("concat_whole", _per_document(both=lambda k: access.concat(k, "カ"), same=lambda k: access.concat(access.slice_morae(k, 0, _half(core.mora_count(k))), access.slice_morae(k, _half(core.mora_count(k))), errors="null"), swapped=lambda k: access.concat(access.slice_morae(k, _half(core.mora_count(k))), access.slice_morae(k, 0, _half(core.mora_count(k))), errors="null")), _sql(both="k || 'カ'", same=_checked("e"), swapped=_checked(_form_of("m[len(m) // 2 + 1:] || m[1:len(m) // 2]"))))
+_add("repeat_whole", _per_document(thrice=lambda k: access.repeat(k, 3, errors="null")), _sql(thrice=_checked("repeat(e, 3)")))
 _add("contains", _per_document(single=lambda k: search.contains(k, "ジ"), pair=lambda k: search.contains(k, _PAIR)), _sql(single="contains(e, '<ジ>')", pair=f"contains(e, '{_form(_PAIR)}')"))
 _add("startswith", _per_document(whole=lambda k: search.startswith(k, ("ア", "デ")), bounded=lambda k: search.startswith(k, "ャ", 2, 12)), _sql(whole="starts_with(e, '<ア>') or starts_with(e, '<デ>')", bounded=f"len(m) >= 2 and starts_with({_PART}, '<ャ>')"))
 _add("endswith", _per_document(whole=lambda k: search.endswith(k, ("ア", "デ")), bounded=lambda k: search.endswith(k, "ウ", 2, 12)), _sql(whole="ends_with(e, '<ア>') or ends_with(e, '<デ>')", bounded=f"len(m) >= 2 and ends_with({_PART}, '<ウ>')"))
@@ -154,6 +161,8 @@ _add("removesuffix", _per_document(kana=lambda k: edit.removesuffix(k, "ア")),
 _add("replace", _per_document(kana=lambda k: edit.replace(k, _PAIR, "トウ", errors="null")), _sql(kana=_checked(f"replace(e, '{_form(_PAIR)}', '<ト><ウ>')")))
 _add("replace_maxcount", _per_document(kana=lambda k: edit.replace(k, "ウ", "ノ", 1, errors="null")), _sql(kana=_checked("(case when strpos(e, '<ウ>') > 0 then substr(e, 1, strpos(e, '<ウ>') - 1) || '<ノ>' || substr(e, strpos(e, '<ウ>') + 3) else e end)")))
 _add("insert_between", _per_document(kana=lambda k: edit.replace(access.slice_morae(k, 0, 20), "", "ト", errors="null")), _sql(kana=_checked(f"('<ト>' || replace({_form_of('m[1:20]')}, '>', '><ト>'))")))
+# A small kana of vowel A fuses with ト before it and makes the whole text null, but not with カ.
+_add("insert_between_whole", _per_document(kana=lambda k: edit.replace(k, "", "ト", errors="null"), same_vowel=lambda k: edit.replace(k, "", "カ", errors="null")), _sql(kana=_checked("('<ト>' || replace(e, '>', '><ト>'))"), same_vowel=_checked("('<カ>' || replace(e, '>', '><カ>'))")))
 
 
 def _choon_sql(ou: bool = False, ei: bool = False) -> str:
@@ -174,6 +183,7 @@ _add("vowel_to_choon_runs", _per_document(TO_LONG, kana=lambda k: phonetic.vowel
 # SQL has no way to take a run of any length: runs of up to four marks are replaced there, and longer ones are compared as null.
 _add("choon_to_vowel", _per_document(TO_LONG, kana=lambda k: F.when(~k.rlike(LONG * 5), phonetic.choon_to_vowel(k, strict=False))), _sql(_LONG_K, kana=f"case when not contains(k, '{LONG * 5}') then {_vowel_sql(4)} end"))
 _add("fromstrs", _per_document(kana=lambda k: core.from_strs(F.substring(k, 1, 5), ["シ", "ャ"], F.substring(k, 6, 5))), _sql(kana="substr(k, 1, 5) || 'シャ' || substr(k, 6, 5)"))
+_add("fromstrs_whole", _per_document(kana=lambda k: core.from_strs(F.substring(k, F.lit(1), _half(F.length(k))), ["シ", "ャ"], F.substring(k, _half(F.length(k)) + 1, F.length(k)))), _sql(kana="substr(k, 1, length(k) // 2) || 'シャ' || substr(k, length(k) // 2 + 1)"))
 _add("table_override", lambda spark, sf_dir: spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", core.normalize(F.lower("p_name"), ignore=True, table={"a": "ア", "e": "エ", "ing": "ン", "o": "オ"}).alias("kana")), f"select p_partkey, regexp_replace(translate(replace(lower(p_name), 'ing', 'ン'), 'aeo', 'アエオ'), '{NOT_KANA}', '', 'g') as kana from part")
 
 

@@ -54,3 +54,19 @@ def test_char_indices(spark, seeds):
 def test_char_indices_long(spark):
     text = "ショウカァ" * 50_000
     assert within(spark, core.char_indices(F.col("k")), text, 20) == list(accumulate(map(len, M.morae(text))))
+
+
+def test_whole_joins(spark, seeds):
+    def put(m, new):
+        return M.joined([x for one in m for x in (new, one)] + [new])
+
+    def split(m):
+        k, half = "".join(m), len("".join(m)) // 2
+        return k[:half] + "シャ" + k[half:]
+
+    against(spark, seeds, "insert_between_whole", lambda m: {"kana": put(m, "ト"), "same_vowel": put(m, "カ")})
+    assert sum(put(m, "カ") is not None for m in seeds.values()) > 100
+    against(spark, seeds, "concat_whole", lambda m: {"both": "".join(m) + "カ", "same": "".join(m), "swapped": M.joined(m[len(m) // 2 :] + m[: len(m) // 2])})
+    against(spark, seeds, "repeat_whole", lambda m: {"thrice": M.joined(m * 3)})
+    against(spark, seeds, "slice_step_whole", lambda m: {"every": M.joined(m[::3]), "back": M.joined(m[::-1])})
+    against(spark, seeds, "fromstrs_whole", lambda m: {"kana": split(m)})
