@@ -1,0 +1,39 @@
+"""Operators on what the findings of the first round named: long lists, copies, partly covered spans, many languages."""
+
+import os
+
+import pytest
+from pyspark.sql import functions as F
+
+from hakuspark.llm import license_scan
+
+COMMON = "/usr/share/common-licenses"
+APACHE = """
+ *  Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with
+ *  the License. You may obtain a copy of the License at
+
+       http://www.apache.org/licenses/LICENSE-2.0
+
+ Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an
+ "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific
+ language governing permissions and limitations under the License."""
+GPL = """This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public
+License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.
+This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.
+You should have received a copy of the GNU General Public License along with this program. If not, see
+<https://www.gnu.org/licenses/>."""
+
+
+def test_license_headers(spark):
+    rows = [(1, APACHE), (2, "Copyright (C) 2020 X\n" + GPL), (3, GPL.replace("GNU General", "GNU Affero General")), (4, GPL + " And more.")]
+    got = license_scan.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["license_id"] for r in got} == {1: "Apache-2.0", 2: "GPL-3.0-or-later", 3: "AGPL-3.0-or-later", 4: None}
+
+
+@pytest.mark.skipif(not os.path.isdir(COMMON), reason="no licence texts here")
+def test_license_texts(spark):
+    wanted = {"Apache-2.0": "Apache-2.0", "GPL-2": "GPL-2.0-only", "GPL-3": "GPL-3.0-only", "LGPL-2.1": "LGPL-2.1-only", "LGPL-3": "LGPL-3.0-only", "MPL-2.0": "MPL-2.0", "CC0-1.0": "CC0-1.0", "BSD": "BSD-3-Clause"}
+    rows = [(k, open(f"{COMMON}/{k}", encoding="utf-8").read()) for k in wanted]
+    got = license_scan.scan_licenses(spark.createDataFrame(rows, "doc_id string, text string")).collect()
+    assert {r["doc_id"]: r["license_id"] for r in got} == wanted
