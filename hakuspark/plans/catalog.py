@@ -182,6 +182,7 @@ _add("vowel_to_choon", _per_document(TO_LONG, plain=phonetic.vowel_to_choon, ou_
 _add("vowel_to_choon_runs", _per_document(TO_LONG, kana=lambda k: phonetic.vowel_to_choon(k, -1)))
 # SQL has no way to take a run of any length: runs of up to four marks are replaced there, and longer ones are compared as null.
 _add("choon_to_vowel", _per_document(TO_LONG, kana=lambda k: F.when(~k.rlike(LONG * 5), phonetic.choon_to_vowel(k, strict=False))), _sql(_LONG_K, kana=f"case when not contains(k, '{LONG * 5}') then {_vowel_sql(4)} end"))
+_add("choon_to_vowel_whole", _per_document(TO_LONG, kana=lambda k: phonetic.choon_to_vowel(k, strict=False)))
 _add("fromstrs", _per_document(kana=lambda k: core.from_strs(F.substring(k, 1, 5), ["シ", "ャ"], F.substring(k, 6, 5))), _sql(kana="substr(k, 1, 5) || 'シャ' || substr(k, 6, 5)"))
 _add("fromstrs_whole", _per_document(kana=lambda k: core.from_strs(F.substring(k, F.lit(1), _half(F.length(k))), ["シ", "ャ"], F.substring(k, _half(F.length(k)) + 1, F.length(k)))), _sql(kana="substr(k, 1, length(k) // 2) || 'シャ' || substr(k, length(k) // 2 + 1)"))
 _add("table_override", lambda spark, sf_dir: spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", core.normalize(F.lower("p_name"), ignore=True, table={"a": "ア", "e": "エ", "ing": "ン", "o": "オ"}).alias("kana")), f"select p_partkey, regexp_replace(translate(replace(lower(p_name), 'ing', 'ン'), 'aeo', 'アエオ'), '{NOT_KANA}', '', 'g') as kana from part")

@@ -70,3 +70,13 @@ def test_whole_joins(spark, seeds):
     against(spark, seeds, "repeat_whole", lambda m: {"thrice": M.joined(m * 3)})
     against(spark, seeds, "slice_step_whole", lambda m: {"every": M.joined(m[::3]), "back": M.joined(m[::-1])})
     against(spark, seeds, "fromstrs_whole", lambda m: {"kana": split(m)})
+
+
+def test_choon_runs(spark, tmp_path):
+    # Each f is a prolonged sound mark.
+    texts = ["Ab" + "f" * n + "c" for n in (0, 1, 4, 5, 6, 50, 3_000)] + ["f" * 7 + "A", "Ufffffff" * 3, ""]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    seeded = {r["doc_id"]: r["k"] for r in catalog.documents(spark, str(tmp_path), catalog.TO_LONG).collect()}
+    assert sum("ー" * 5 in k for k in seeded.values()) >= 5
+    got = {r["doc_id"]: r["kana"] for r in catalog.queries()["choon_to_vowel_whole"](spark, str(tmp_path)).collect()}
+    assert got == {i: M.choon_to_vowel(k) for i, k in seeded.items()}
