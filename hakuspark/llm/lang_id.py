@@ -4,7 +4,8 @@ Slot i of the filter is a mask with one bit a language, so that one probe (the A
 returns all languages that contain the n-gram. A document's popcounts by language, corrected for the false
 positives to be expected at each language's fill, decide.
 
-Learning: a bounded sample of labelled rows, SAMPLE_DOCS a language, drawn by a hash of the text from all of them.
+Learning: a bounded sample of labelled texts, about SAMPLE_DOCS a language, drawn by a hash of the text from all of
+them; copies count once, except that all n-grams of a text with copies are seen twice.
 A language keeps the n-grams (four characters of lower-cased letters, blanks between words) that are among its
 GRAMS most frequent, seen at least twice, and not SHARE times as frequent in another language.
 
@@ -145,25 +146,25 @@ class LanguageModel:
 
 
 def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", sample_docs: int = SAMPLE_DOCS, grams: int = GRAMS) -> LanguageModel:
-    """Learn from rows with text and lang; reads a sample of about sample_docs rows a language."""
-    rows = labelled.select(F.col(text).alias("t"), F.col(lang).alias("l")).where("t is not null and l is not null")
+    """Learn from rows with text and lang; reads a sample of about sample_docs distinct texts a language."""
+    rows = labelled.select(F.col(text).alias("t"), F.col(lang).alias("l"), F.xxhash64(text).alias("h")).where("t is not null and l is not null")
     small_batches(labelled.sparkSession)
-    sizes = {r["l"]: r["n"] for r in rows.groupBy("l").agg(F.count("*").alias("n")).collect()}
+    sizes = {r["l"]: r["n"] for r in rows.groupBy("l", "h").agg(F.lit(1)).groupBy("l").agg(F.count("*").alias("n")).collect()}
     if len(sizes) > MAX_LANGUAGES:
         raise ValueError(f"at most {MAX_LANGUAGES} languages")
     if not sizes:
         return LanguageModel({})
     share = F.create_map(*(F.lit(x) for k, n in sizes.items() for x in (k, min(1.0, sample_docs / n))))
-    drawn = rows.where(F.pmod(F.xxhash64("t"), F.lit(1_000_003)) < share[F.col("l")] * 1_000_003)
+    drawn = rows.where(F.pmod("h", F.lit(1_000_003)) < share[F.col("l")] * 1_000_003).groupBy("l", "h").agg(F.min("t").alias("t"), F.least(F.count("*"), F.lit(2)).alias("c")).drop("h")
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for language, texts in batch.groupby("l")["t"]:
+            for (language, copies), texts in batch.groupby(["l", "c"])["t"]:
                 for parts, _ in _slices([t.lower() for t in texts]):
                     hashes, n = np.unique(_gram_hashes(parts)[0], return_counts=True)
-                    yield pd.DataFrame({"l": language, "g": hashes.view(np.int64), "n": n})
+                    yield pd.DataFrame({"l": language, "g": hashes.view(np.int64), "n": n, "seen": n * copies})
 
-    counted = drawn.mapInPandas(count, "l string, g long, n long").groupBy("l", "g").agg(F.sum("n").alias("n")).where("n >= 2")
+    counted = drawn.mapInPandas(count, "l string, g long, n long, seen long").groupBy("l", "g").agg(F.sum("n").alias("n"), F.sum("seen").alias("seen")).where("seen >= 2")
     from pyspark.sql import Window
 
     ranked = counted.withColumn("_at", F.row_number().over(Window.partitionBy("l").orderBy(F.desc("n"), "g"))).where(F.col("_at") <= 2 * grams)

@@ -31,7 +31,7 @@ KINDS = ["assign", "access", "hex", "random"]
 CANDIDATE = r"[A-Za-z0-9_+/-]{20,}={0,2}"
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789_+/-="
 MARGIN = 12.0
-#: The ordinary sample: words of about so many documents, drawn by a hash of the text, and these identifiers.
+#: The ordinary sample: words of about so many distinct texts, drawn by a hash of the text, and these identifiers.
 SAMPLE_DOCS = 2_000
 SAMPLE_RANDOM = 2_000
 IDENTIFIERS = "getElementById addEventListener removeEventListener setRequestHeader hasOwnProperty toLocaleUpperCase createDocumentFragment internal_server_error connection_timeout_ms max_retry_count default_value_or_none user_profile_settings is_authenticated_user content_type_options last_modified_since ArrayIndexOutOfBoundsException IllegalArgumentException NullPointerException AbstractFactoryBuilder DocumentProcessingPipeline repartitionByRange monotonically_increasing_id application-configuration background-color-primary read-only-file-system"
@@ -67,10 +67,11 @@ def base_spans(text: Column) -> Column:
 
 def labelled_samples(docs: DataFrame, text: str = "text", sample_docs: int = SAMPLE_DOCS) -> DataFrame:
     """Rows of token and is_random: digests in two notations; words of a bounded sample of docs, and identifiers."""
-    spark, n = docs.sparkSession, docs.count()
+    spark, texts = docs.sparkSession, docs.select(F.col(text).alias("t"), F.xxhash64(text).alias("h"))
+    n = texts.select("h").distinct().count()
     digest = F.unhex(F.sha2(F.col("id").cast("string"), 256))
     random = spark.range(SAMPLE_RANDOM).select(F.explode(F.array(F.rtrim(F.base64(digest), F.lit("=")), F.lower(F.hex(digest)), F.translate(F.base64(digest), "abcdefghijklmnopqrstuvwxyz+/=", "ABCDEFGHIJKLMNOPQRSTUVWXYZ89"))).alias("token"), F.lit(True).alias("is_random"))
-    drawn = docs.select(F.col(text).alias("t")).where(F.pmod(F.xxhash64("t"), F.lit(1_000_003)) < min(1.0, sample_docs / max(n, 1)) * 1_000_003)
+    drawn = texts.where(F.pmod("h", F.lit(1_000_003)) < min(1.0, sample_docs / max(n, 1)) * 1_000_003).groupBy("h").agg(F.min("t").alias("t"))
     words = drawn.select(F.explode(F.regexp_extract_all("t", F.lit("[A-Za-z]{4,}"), 0)).alias("token"), F.lit(False).alias("is_random"))
     names = literal_rows(spark, ["token", "is_random"], [(x, False) for x in IDENTIFIERS.split()])
     return random.unionByName(words).unionByName(names)

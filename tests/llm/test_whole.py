@@ -5,7 +5,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from hakuspark.llm import license_scan
+from hakuspark.llm import lang_id, license_scan, secret_scan
 
 COMMON = "/usr/share/common-licenses"
 APACHE = """
@@ -37,3 +37,18 @@ def test_license_texts(spark):
     rows = [(k, open(f"{COMMON}/{k}", encoding="utf-8").read()) for k in wanted]
     got = license_scan.scan_licenses(spark.createDataFrame(rows, "doc_id string, text string")).collect()
     assert {r["doc_id"]: r["license_id"] for r in got} == wanted
+
+
+def test_language_copies(spark):
+    """A language of few texts in many copies is learned, and copies of one text don't take n-grams from others."""
+    few = [("ein kleiner hund und eine katze gehen heute durch den wald", "de")] * 2_000 + [("morgen kommt regen aus dem norden", "de")]
+    many = [(f"the small dog number {i} and a cat walk through the wood today", "en") for i in range(300)]
+    model = lang_id.fit(spark.createDataFrame(few + many, "text string, lang string"), sample_docs=20)
+    texts = ["eine katze und ein kleiner hund", "a cat and the small dog", "ein hund durch den wald", "walk today"]
+    assert model.predict(texts)[0] == ["de", "en", "de", "en"]
+
+
+def test_secret_sample_copies(spark):
+    docs = spark.createDataFrame([("alpha beta gamma",)] * 3_000 + [(f"word delta {'abcdefghij'[i % 10] * 4}{chr(97 + i // 10) * 3}",) for i in range(100)], "text string")
+    words = secret_scan.labelled_samples(docs, sample_docs=200).where("not is_random").groupBy("token").count()
+    assert {r["token"]: r["count"] for r in words.where("token in ('alpha', 'delta')").collect()} == {"alpha": 1, "delta": 100}
