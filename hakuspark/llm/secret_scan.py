@@ -1,7 +1,7 @@
 """Secret scans: fixed patterns, and character Markov models of random strings and of ordinary identifiers.
 
 The patterns give base spans: `assign` (a key word, a sign and a value), `access` (AKIA keys) and `hex`. The method
-adds `random`: a run of token characters that no base span touches and whose log-likelihood ratio, under two
+adds `random`: a run of token characters that base spans don't cover wholly and whose log-likelihood ratio, under two
 first-order character models, favours the model of random strings by MARGIN. Both are trained from labelled
 samples: random strings made from digests, and ordinary words and identifiers. Everything is Spark expressions.
 
@@ -111,7 +111,9 @@ def find_secrets(docs: DataFrame, model: list[float] | None = None, text: str =
     whole = F.coalesce(F.col(text), F.lit(""))
     based = docs.withColumn("secrets", base_spans(whole))
     found = _spans(whole, "random", CANDIDATE, lambda hit: ratio(hit, model) > MARGIN)
-    free = F.filter(found, lambda s: ~F.exists(F.col("secrets"), lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
+    # Base spans come by start: how far they cover a span from its start on without a gap.
+    reach = lambda s: F.aggregate("secrets", s["start"], lambda at, b: F.when(b["start"] <= at, F.greatest(at, b["end"])).otherwise(at))
+    free = F.filter(found, lambda s: reach(s) < s["end"])
     return based.withColumn("secrets", _ordered(F.concat("secrets", free)))
 
 
