@@ -32,7 +32,8 @@ GRAMS = 12_000
 SHARE = 4.0
 SLOT_BITS = 18
 PROBES = 3
-MAX_LANGUAGES = 64
+#: Languages in one mask; more take further masks for each slot.
+WORD = 64
 SLICE = 200_000
 LOT_ROWS = 500
 
@@ -97,30 +98,28 @@ def _slices(texts: list[str]) -> Iterator[tuple[list[str], list[int]]]:
 
 
 class LanguageModel:
-    """Bit-sliced Bloom filter: one slot array with a bit for each language."""
+    """Bit-sliced Bloom filter: slot arrays with a bit for each language, WORD languages in each."""
 
     def __init__(self, grams: dict[str, np.ndarray], slot_bits: int = SLOT_BITS, probes: int = PROBES):
         self.languages = sorted(grams)
-        if len(self.languages) > MAX_LANGUAGES:
-            raise ValueError(f"at most {MAX_LANGUAGES} languages")
         self.probes, self.slot_bits = probes, slot_bits
-        kind = next(t for t in (np.uint8, np.uint16, np.uint32, np.uint64) if np.iinfo(t).bits >= len(self.languages))
-        self.slots = np.zeros(1 << slot_bits, kind)
+        kind = next(t for t in (np.uint8, np.uint16, np.uint32, np.uint64) if np.iinfo(t).bits >= min(len(self.languages), WORD))
+        self.words = [np.zeros(1 << slot_bits, kind) for _ in range(0, max(1, len(self.languages)), WORD)]
         for i, language in enumerate(self.languages):
             for at in self._places(grams[language]):
-                self.slots[at] |= kind(1 << i)
-        fill = [float(np.mean((self.slots >> kind(i)) & kind(1))) for i in range(len(self.languages))]
+                self.words[i // WORD][at] |= kind(1 << i % WORD)
+        fill = [float(np.mean((self.words[i // WORD] >> kind(i % WORD)) & kind(1))) for i in range(len(self.languages))]
         self.false_rate = np.array([f**probes for f in fill])
 
     def _places(self, hashes: np.ndarray) -> Iterator[np.ndarray]:
         for k in range(self.probes):
             yield (hashes >> np.uint64(20 * k)) & np.uint64((1 << self.slot_bits) - 1)
 
-    def containing(self, hashes: np.ndarray) -> np.ndarray:
-        """The mask of languages that contain each n-gram."""
+    def containing(self, hashes: np.ndarray, word: int = 0) -> np.ndarray:
+        """The mask of languages (of the word-th WORD of them) that contain each n-gram."""
         masks = None
         for at in self._places(hashes):
-            masks = self.slots[at] if masks is None else masks & self.slots[at]
+            masks = self.words[word][at] if masks is None else masks & self.words[word][at]
         return masks
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
@@ -129,10 +128,10 @@ class LanguageModel:
         lettered = np.zeros(len(texts), np.bool_)
         for parts, owners in _slices([(t or "").lower() for t in texts]):
             hashes, each = _gram_hashes(parts)
-            masks = self.containing(hashes)
             ends = np.concatenate(([0], np.cumsum(each)))
             for i in range(len(self.languages)):
-                hits = np.concatenate(([0], np.cumsum((masks >> masks.dtype.type(i)) & masks.dtype.type(1), dtype=np.int64)))
+                masks = masks if i % WORD else self.containing(hashes, i // WORD)
+                hits = np.concatenate(([0], np.cumsum((masks >> masks.dtype.type(i % WORD)) & masks.dtype.type(1), dtype=np.int64)))
                 np.add.at(counts[:, i], owners, hits[ends[1:]] - hits[ends[:-1]])
             np.add.at(total, owners, each)
         for i, t in enumerate(texts):
@@ -150,8 +149,6 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", sample_docs
     rows = labelled.select(F.col(text).alias("t"), F.col(lang).alias("l"), F.xxhash64(text).alias("h")).where("t is not null and l is not null")
     small_batches(labelled.sparkSession)
     sizes = {r["l"]: r["n"] for r in rows.groupBy("l", "h").agg(F.lit(1)).groupBy("l").agg(F.count("*").alias("n")).collect()}
-    if len(sizes) > MAX_LANGUAGES:
-        raise ValueError(f"at most {MAX_LANGUAGES} languages")
     if not sizes:
         return LanguageModel({})
     share = F.create_map(*(F.lit(x) for k, n in sizes.items() for x in (k, min(1.0, sample_docs / n))))

@@ -2,6 +2,7 @@
 
 import os
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -65,3 +66,10 @@ def test_secret_partly_covered(spark):
     assert [s[0] for s in got[3]] == ["assign", "hex"] and [s[0] for s in got[4]] == ["random", "access"]
     clean = {r["doc_id"]: r["text"] for r in secret_scan.redact(df, model).collect()}
     assert clean[1] == clean[2] == clean[4] == "see [SECRET]."
+
+
+def test_many_languages(spark):
+    r = np.random.default_rng(5)
+    made = {f"l{i:03}": [" ".join("".join(r.choice(list("abcdefghijklmnopqrstuvwxyz"), 9)) for _ in range(12))] * 2 for i in range(130)}
+    model = lang_id.fit(spark.createDataFrame([(t, k) for k, texts in made.items() for t in texts], "text string, lang string"))
+    assert model.predict([texts[0] for texts in made.values()])[0] == list(made)
