@@ -1,17 +1,20 @@
 """Near-duplicate embeddings: all pairs of cosine at least a threshold, by dual traversal of cover trees.
 
 Equal vectors become one class with a weight. Classes are dealt into cells around centres from a bounded sample
-(SAMPLE_ROWS rows, CENTERS centres by farthest-first order, that is, the top of a cover tree) and large cells into
-blocks of at most BLOCK_ROWS. Each block gets a cover tree: nested levels of centres with halving radii, where a
-node knows the largest distance from its centre to what is below. Two blocks are compared in one task if their
-cells' covering radii let them hold a link; there both trees are descended together, and pairs of nodes that are
-farther apart than their radii and the link distance are pruned; if even the farthest points must be linked, the
-pair is counted whole. What is left is compared in single precision with a margin, and the hits in double
-precision. A task returns, for each point, its number of links there and the smallest point that it is connected
-to, never the pairs; so a group of any size costs rows in proportion.
+(SAMPLE_ROWS rows; a centre for each block's worth of classes, CENTERS at least, by farthest-first order, that is,
+the top of a cover tree) and large cells into blocks of about BLOCK_BYTES. Each block gets a cover tree: nested levels
+of centres with halving radii, where a node knows the largest distance from its centre to what is below. Trees are
+stored once. A task takes two groups of at most GROUP_BLOCKS trees, so that a tree is sent once for each group and not
+for each block, and compares those whose cells' covering radii let them hold a link: both trees are descended
+together, and pairs of nodes that are farther apart than their radii and the link distance are pruned; if even the
+farthest points must be linked, the pair is counted whole. Distances between centres are in double precision. What
+is left is compared in single precision with a margin, and the hits in double precision. A task returns, for each
+point, its number of links there and the smallest point that it is connected to, never the pairs; so a group of any
+size costs rows in proportion.
 
 With embeddings that lie apart in many directions no metric bound separates cells, and all pairs of blocks are
-compared, each as matrix products; links are exact in any case.
+compared, each as matrix products: the work, and the trees sent, grow with the square of the rows then. Links are
+exact in any case.
 
 Defined cases: vectors that are null, all zero, or hold null or non-finite components link with nothing, and are
 returned with no links as their own component; a shorter vector is filled with zeros; rows that repeat a vector
@@ -29,20 +32,21 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hakuspark.llm.common import small, stored, table
-from hakuspark.llm.components import components, roots, unite
+from hakuspark.llm.common import drop_stored, small, stored, table
+from hakuspark.llm.components import components, local_components, roots, unite
 from hakuspark.llm.topk_search import usable
 
 THRESHOLD = 0.95
 SAMPLE_ROWS = 1_024
 CENTERS = 8
-BLOCK_ROWS = 8_192
+BLOCK_BYTES = 1 << 22
+GROUP_BLOCKS = 8
 LEAF = 64
 TILE = 2_048
 #: Pairs of nodes with at most so many pairs of points are not descended further; points are compared in such lots.
 FEW = 256
 LOT = 100_000
-#: More than single precision can be off by, in a cosine and in a distance.
+#: More than single precision can be off by in a cosine, and double precision in a distance.
 MARGIN, FAR = 2e-5, 1e-4
 
 
@@ -171,7 +175,7 @@ class Links:
                 break  # the same pairs the other way round
             for at in range(0, len(one), TILE):
                 part = one[at : at + TILE]
-                cos = a.fast[a.center[part]] @ b.fast[b.center[two]].T
+                cos = a.points[a.center[part]] @ b.points[b.center[two]].T
                 far = a.reach[part][:, None] + b.reach[two][None, :] + (self.distance + FAR)
                 keep = cos >= 1 - np.minimum(far, 2) ** 2 / 2
                 i, j = np.nonzero(keep)
@@ -234,32 +238,46 @@ class Links:
 
 
 def _link_blocks(lots: list[int], allowed: np.ndarray, dims: int, threshold: float):
-    """The two group functions: a block to its copies by pair, and a pair of blocks to links by point."""
-    offset = np.concatenate(([0], np.cumsum(lots)))
-    total = int(offset[-1])
-
-    def build(group: pd.DataFrame) -> pd.DataFrame:
-        cell, lot = int(group["cell"].iloc[0]), int(group["lot"].iloc[0])
-        tree = CoverTree(unit(matrix(group["v"], dims)), group["cid"].to_numpy(np.int64), group["n"].to_numpy(np.int64))
-        me, blob = int(offset[cell] + lot), pickle.dumps(tree, protocol=5)
-        others = [int(offset[c] + k) for c in np.flatnonzero(allowed[cell]) for k in range(lots[c])]
-        return pd.DataFrame({"pair": [min(me, o) * total + max(me, o) for o in others], "block": me, "blob": [blob] * len(others)})
-
-    def link(group: pd.DataFrame) -> pd.DataFrame:
-        trees = [pickle.loads(x) for x in group.sort_values("block")["blob"]]
-        for tree in trees:
+    """The two group functions: a block to its tree and tiles, and a tile's trees to links by point."""
+    offset, cell_of = np.concatenate(([0], np.cumsum(lots))), np.repeat(np.arange(len(lots)), lots)
+    per = min(GROUP_BLOCKS, -(-len(cell_of) // GROUP_BLOCKS))
+    groups = -(-len(cell_of) // per)
+
+    def build(rows: pd.DataFrame) -> pd.DataFrame:
+        cell, lot = int(rows["cell"].iloc[0]), int(rows["lot"].iloc[0])
+        tree = CoverTree(unit(matrix(rows["v"], dims)), rows["cid"].to_numpy(np.int64), rows["n"].to_numpy(np.int64))
+        block = int(offset[cell] + lot)
+        own = block // per
+        near = allowed[cell_of[own * per : (own + 1) * per]].any(0)[cell_of]
+        others = np.unique(np.flatnonzero(near) // per)
+        tiles = np.minimum(own, others) * groups + np.maximum(own, others)
+        return pd.DataFrame({"block": block, "tiles": [tiles], "blob": [pickle.dumps(tree, protocol=5)]})
+
+    def link(rows: pd.DataFrame) -> pd.DataFrame:
+        first, second = divmod(int(rows["tile"].iloc[0]), groups)
+        trees = {block: pickle.loads(blob) for block, blob in zip(rows["block"].tolist(), rows["blob"])}
+        for tree in trees.values():
             tree.single()
-        found = None
-        if len(trees) == 2 or group["pair"].iloc[0] % (total + 1) == 0:  # its partner may be empty
-            found = Links(trees[0], trees[1] if len(trees) == 2 else None, threshold)
-            found.run()
-        if found is None or not found.counts.any():
+        cids, counts, ends = [], [], []
+        for x in sorted(trees):
+            for y in sorted(trees):
+                if x // per != first or y // per != second or x > y or not allowed[cell_of[x], cell_of[y]]:
+                    continue
+                found = Links(trees[x], None if x == y else trees[y], threshold)
+                found.run()
+                at = np.flatnonzero(found.counts)
+                ids = np.concatenate([trees[t].ids for t in sorted({x, y})])
+                cids.append(ids[at])
+                counts.append(found.counts[at])
+                ends.append(ids[roots(found.parent, at)])
+        if not any(map(len, cids)):
             return pd.DataFrame({"cid": [], "links": [], "root": []}, dtype=np.int64)
-        ids = np.concatenate([t.ids for t in trees])
-        at = np.flatnonzero(found.counts)
-        return pd.DataFrame({"cid": ids[at], "links": found.counts[at], "root": ids[roots(found.parent, at)]})
+        node, root = local_components(np.concatenate(cids), np.concatenate(ends))
+        links = np.zeros(len(node), np.int64)
+        np.add.at(links, np.searchsorted(node, np.concatenate(cids)), np.concatenate(counts))
+        return pd.DataFrame({"cid": node, "links": links, "root": root})
 
-    return build, link, total
+    return build, link, groups
 
 
 def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
@@ -276,7 +294,8 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, key: str =
         return rows.select(F.col("_key").alias(key), F.lit(0).cast("long").alias("n_links"), F.col("_key").alias("component_id"), F.lit(True).alias("kept"))
     dims = facts["dims"]
     sample = unit(matrix([r["v"] for r in classes.orderBy("h1", "h2").limit(SAMPLE_ROWS).select("v").collect()], dims))
-    centers = sample[farthest_first(sample, CENTERS)]
+    block_rows = max(256, BLOCK_BYTES // (8 * dims))
+    centers = sample[farthest_first(sample, max(CENTERS, facts["n"] // block_rows))]
 
     def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -287,19 +306,22 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, key: str =
     kind = classes.schema["v"].dataType.simpleString()
     celled = stored(classes.select("cid", "n", "v").mapInPandas(assign, f"cid long, n long, v {kind}, cell int, far double"), "cells")
     sizes = {r["cell"]: (r["n"], r["far"]) for r in celled.groupBy("cell").agg(F.count("*").alias("n"), F.max("far").alias("far")).collect()}
-    lots = [-(-sizes.get(c, (0, 0))[0] // BLOCK_ROWS) for c in range(len(centers))]
+    lots = [-(-sizes.get(c, (0, 0))[0] // block_rows) for c in range(len(centers))]
     far = np.array([sizes.get(c, (0, 0.0))[1] for c in range(len(centers))])
     apart = np.sqrt(np.maximum(0, 2 - 2 * centers @ centers.T))
     allowed = apart <= far[:, None] + far[None, :] + np.sqrt(2 - 2 * threshold) + FAR
-    build, link, total = _link_blocks(lots, allowed, dims, threshold)
+    build, link, groups = _link_blocks(lots, allowed, dims, threshold)
     lot = F.pmod(F.xxhash64("cid"), F.element_at(F.lit([max(1, x) for x in lots]), F.col("cell") + 1)).cast("int")
-    blocks = celled.withColumn("lot", lot).repartition(total, "cell", "lot").groupBy("cell", "lot").applyInPandas(build, "pair long, block long, blob binary")
-    pairs = min(10_000, total * (total + 1) // 2)
-    links = stored(blocks.repartition(pairs, "pair").groupBy("pair").applyInPandas(link, "cid long, links long, root long"), "links")
+    trees = stored(celled.withColumn("lot", lot).repartition(sum(lots), "cell", "lot").groupBy("cell", "lot").applyInPandas(build, "block long, tiles array<long>, blob binary"), "trees")
+    tiles = trees.select(F.explode("tiles").alias("tile"), "block", "blob").repartition(min(10_000, groups * (groups + 1) // 2), "tile")
+    links = stored(tiles.groupBy("tile").applyInPandas(link, "cid long, links long, root long"), "links")
+    drop_stored(trees)
+    drop_stored(celled)
     joined = components(links.select(F.col("cid").alias("a"), F.col("root").alias("b")))
     ids = classes.select("cid", "h1", "h2", "n", "min_key")
     labelled = ids.join(joined, ids["cid"] == joined["node"], "left").withColumn("root", F.coalesce("root", "cid")).drop("node")
-    least = labelled.groupBy("root").agg(F.min("min_key").alias("component_id"))
+    # Stored, so that the join reads two exchanges and a large component's part can be split.
+    least = stored(labelled.groupBy("root").agg(F.min("min_key").alias("component_id")), "least")
     counts = links.groupBy("cid").agg(F.sum("links").alias("links"))
     done = labelled.join(least, "root").join(counts, "cid", "left").select("h1", "h2", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), "component_id")
     out = rows.drop("v").join(small(done, facts["n"]), ["h1", "h2"], "left")
