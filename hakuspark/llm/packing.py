@@ -21,6 +21,8 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -31,27 +33,54 @@ CAPACITY = 2048
 END_ID = 1
 TOKENIZER = "word_bpe_49k.json"
 BUCKET_ROWS = 5_000
-LOT_ROWS = 500
+#: Texts of about so many bytes are encoded together, and so many pieces come out at once.
+LOT_BYTES = 4_000_000
+BATCH_PIECES = 8_192
 _RANKS = np.int64(1) << 44
 
 
+def _lots(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    """Runs of texts of about LOT_BYTES together."""
+    sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    lot = (np.cumsum(sizes) - sizes) // LOT_BYTES
+    edges = np.concatenate(([0], np.flatnonzero(np.diff(lot)) + 1, [len(texts)]))
+    return zip(edges[:-1].tolist(), edges[1:].tolist())
+
+
 def cut_documents(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = END_ID, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per piece: _key, start, length, doc_tokens, ids_crc32, ids (little-endian unsigned 32-bit)."""
-
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    names = ["_key", "start", "length", "doc_tokens", "ids_crc32", "ids"]
+
+    def lot(tokenizer: WordTokenizer, keys: pa.Array, texts: pa.Array) -> Iterator[pa.RecordBatch]:
+        ids, ends = tokenizer.encode_all(texts)
+        ends = ends + np.arange(1, len(ends) + 1)  # each text takes the end token
+        tokens = np.diff(ends, prepend=0)
+        flat = np.full(int(ends[-1]), end_id, "<u4")
+        inner = np.ones(len(flat), np.bool_)
+        inner[ends - 1] = False
+        flat[inner] = ids
+        each = -(-tokens // capacity)
+        owner = np.repeat(np.arange(len(ends)), each)
+        start = capacity * (np.arange(len(owner)) - np.repeat(np.cumsum(each) - each, each))
+        length = np.minimum(capacity, tokens[owner] - start)
+        # The pieces follow one another in flat, so that it is their column.
+        offsets, data = np.concatenate(([0], 4 * np.cumsum(length))), memoryview(flat).cast("B")
+        for first in range(0, len(owner), BATCH_PIECES):
+            some = slice(first, first + BATCH_PIECES)
+            at = offsets[first : first + BATCH_PIECES + 1]
+            held = data[at[0] : at[-1]]
+            crc = np.fromiter((zlib.crc32(data[a:b]) for a, b in zip(at[:-1].tolist(), at[1:].tolist())), np.int64, len(at) - 1)
+            column = pa.Array.from_buffers(pa.binary(), len(crc), [None, pa.py_buffer((at - at[0]).astype(np.int32)), pa.py_buffer(held)])
+            yield pa.RecordBatch.from_arrays([keys.take(pa.array(owner[some])), *map(pa.array, (start[some], length[some], tokens[owner[some]], crc)), column], names)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = WordTokenizer.held(path)
         for batch in batches:
-            for first in range(0, len(batch), LOT_ROWS):
-                lot, rows = batch.iloc[first : first + LOT_ROWS], []
-                for doc, t in zip(lot["_key"], lot["_text"]):
-                    ids = np.append(tokenizer.encode(t) if isinstance(t, str) else [], end_id).astype("<u4")
-                    for at in range(0, len(ids), capacity):
-                        part = ids[at : at + capacity].tobytes()
-                        rows.append((doc, at, len(part) // 4, len(ids), zlib.crc32(part), part))
-                yield pd.DataFrame(rows, columns=["_key", "start", "length", "doc_tokens", "ids_crc32", "ids"])
+            for a, b in _lots(batch.column("_text")) if len(batch) else ():
+                yield from lot(tokenizer, batch.column("_key")[a:b], batch.column("_text")[a:b])
 
     source = docs.select(F.col(key).cast("long").alias("_key"), F.col(text).alias("_text"))
-    return source.mapInPandas(_nullable(cut), "_key long, start long, length long, doc_tokens long, ids_crc32 long, ids binary")
+    return source.mapInArrow(cut, "_key long, start long, length long, doc_tokens long, ids_crc32 long, ids binary")
 
 
 def _nullable(f):

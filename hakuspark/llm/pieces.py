@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from hakuspark.llm.common import table
 from hakuspark.llm.packing import _nullable
-from hakuspark.llm.tokens import Memo, vocabulary_path
+from hakuspark.llm.tokens import Memo, flattened, lengths, vocabulary_path
 
 MODEL = "piece_bpe_32k.model"
 BLANK = "▁"
@@ -86,7 +86,7 @@ class PieceModel:
         alone = "".join(re.escape(chr(i)) for i in range(32) if chr(i) not in inside)
         across = any(BLANK in p.lstrip(BLANK) for p in usable)
         self.parts = re.compile(rf"[{alone}]|[^{alone}]+" if across else rf"[{alone}]|{BLANK}+[^{BLANK}{alone}]*|[^{BLANK}{alone}]+")
-        self.memo = Memo(lambda parts: map(self.segment, parts))
+        self.memo = Memo(self._encode)
 
     @classmethod
     def held(cls, path: str) -> PieceModel:
@@ -127,6 +127,10 @@ class PieceModel:
             at = start[at]
         return ids[::-1]
 
+    def _encode(self, parts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        found = list(map(self.segment, parts))
+        return parts, flattened(found), lengths(found)
+
     def encode(self, text: str) -> np.ndarray:
         return self.memo.ids(self.parts.findall(BLANK + text.replace(" ", BLANK))) if text else np.zeros(0, np.uint32)
 

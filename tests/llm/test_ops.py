@@ -8,6 +8,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -81,6 +82,42 @@ def test_cover_tree_large_groups():
     assert (both.counts == np.concatenate((hit.sum(1), hit.sum(0)))).all()
 
 
+def test_cover_tree_close_centres():
+    """Pairs of nodes whose centres nearly agree and whose farthest points are just not linked."""
+    r = np.random.default_rng(13)
+    for _ in range(40):
+        ahead, aside = np.linalg.qr(r.normal(size=(16, 2)))[0].T
+
+        def fan(turn, reach, n):
+            """A centre turned one way, and points around it, about so far, the other way."""
+            angles = turn - np.concatenate(([0.0], 2 * np.arcsin(r.uniform(reach * 0.99, reach, n) / 2)))
+            return embedding_dedup.unit(np.cos(angles)[:, None] * ahead + np.sin(angles)[:, None] * aside)
+
+        one, two = fan(0.0, 0.31605, 90), fan(r.uniform(2e-4, 3e-4), 1e-6, 90)
+        trees = [embedding_dedup.CoverTree(p, np.arange(len(p)), np.ones(len(p), int)) for p in (one, two)]
+        for t in trees:
+            t.single()
+        both = embedding_dedup.Links(*trees, 0.95)
+        both.run()
+        hit = np.einsum("ik,jk->ij", trees[0].points, trees[1].points) >= 0.95
+        assert (both.counts == np.concatenate((hit.sum(1), hit.sum(0)))).all()
+
+
+def test_embedding_tiles(spark, monkeypatch):
+    """Many small blocks in groups of several, against all pairs."""
+    monkeypatch.setattr(embedding_dedup, "BLOCK_BYTES", 1)  # 256 rows
+    monkeypatch.setattr(embedding_dedup, "GROUP_BLOCKS", 3)
+    r = np.random.default_rng(14)
+    heads = r.normal(size=(40, 12))
+    data = (heads[r.integers(0, 40, 3000)] + r.normal(size=(3000, 12)) * r.choice([0.05, 0.15, 0.6], (3000, 1))).tolist()
+    df = spark.createDataFrame(list(enumerate(data)), "vec_id long, embedding array<double>")
+    points = embedding_dedup.unit(np.array(data))
+    hit = points @ points.T >= 0.95
+    i, j = np.nonzero(hit)
+    nodes, least = components.local_components(i, j)
+    assert rows(embedding_dedup.near_duplicates(df), "vec_id", "n_links", "component_id") == sorted(((int(k), int(n) - 1, int(x)) for k, n, x in zip(nodes, hit.sum(1), least)), key=repr)
+
+
 def test_components_contract(spark):
     r = random.Random(4)
     pairs = [(i, i + 1) for i in range(300)] + [(1000, 1000 + i) for i in range(200)] + [(r.randint(2000, 2400), r.randint(2000, 2400)) for _ in range(300)]
@@ -170,29 +207,49 @@ def test_packing(spark, texts):
     data, df = texts
     path = vocabulary_path(packing.TOKENIZER)
     tokenizer = WordTokenizer(path)
+    ids_of = lambda t: np.array([*tokenizer.tokenizer.encode(t or "", add_special_tokens=False).ids, packing.END_ID], "<u4")
+
+    def check(got):
+        at = {}
+        for r in sorted(got, key=lambda r: (r["sequence_id"], r["offset"])):
+            assert zlib.crc32(r["ids"]) == r["ids_crc32"] and len(r["ids"]) == 4 * r["length"] and r["offset"] == at.get(r["sequence_id"], 0)
+            at[r["sequence_id"]] = r["offset"] + r["length"]
+        assert all(n == packing.CAPACITY or n & (n - 1) == 0 for n in at.values())
+
+    # The ids of every document, under ids of their own.
+    own = packing.pack(clash(spark.createDataFrame([(i, t) for i, (_, t) in enumerate(data)], "doc_id long, text string")), path, with_ids=True).collect()
+    check(own)
+    found: dict = {}
+    for r in sorted(own, key=lambda r: r["start"]):
+        assert r["start"] == len(found.get(r["doc_id"], b"")) // 4
+        found[r["doc_id"]] = found.get(r["doc_id"], b"") + r["ids"]
+    assert found == {i: ids_of(t).tobytes() for i, (_, t) in enumerate(data)}
     got = packing.pack(clash(df), path, with_ids=True).collect()
-    found = Counter()
-    by_doc: dict = {}
+    check(got)
+    sizes: Counter = Counter()
     for r in got:
-        assert zlib.crc32(r["ids"]) == r["ids_crc32"] and len(r["ids"]) == 4 * r["length"]
-        by_doc.setdefault((r["doc_id"], r["doc_tokens"]), []).append((r["start"], bytes(r["ids"])))
-        found[r["sequence_id"]] += r["length"]
-    expected = Counter()
+        sizes[r["doc_id"], r["doc_tokens"]] += r["length"]
+    expected: Counter = Counter()
     for k, t in data:
-        ids = np.array([*tokenizer.tokenizer.encode(t or "", add_special_tokens=False).ids, packing.END_ID], "<u4")
-        expected[k, len(ids)] += len(ids)
-    assert {k: sum(len(x) // 4 for _, x in v) for k, v in by_doc.items()} == dict(expected)
-    text = dict((k, t) for k, t in data if k == 8)[8]
-    ids = np.array([*tokenizer.tokenizer.encode(text, add_special_tokens=False).ids, packing.END_ID], "<u4")
-    assert b"".join(x for _, x in sorted(by_doc[8, len(ids)])) == ids.tobytes()
-    assert all(n == packing.CAPACITY or n & (n - 1) == 0 for n in found.values())
-    at = {}
-    for r in sorted(got, key=lambda r: (r["sequence_id"], r["offset"])):
-        assert r["offset"] == at.get(r["sequence_id"], 0)
-        at[r["sequence_id"]] = r["offset"] + r["length"]
+        expected[k, len(ids_of(t))] += len(ids_of(t))
+    assert sizes == expected
     assert packing.pack(df.limit(0), path).count() == 0
 
 
+def test_packing_lots(monkeypatch):
+    """Texts cut into lots, and signs cut from words, give the ids of whole texts."""
+    tokenizer = WordTokenizer(vocabulary_path(packing.TOKENIZER))
+    r = random.Random(15)
+    parts = ["stop", ",", ".", "'s", "don't", "%%%", "été", "ß", "»", "3.5", " ", "\n", "\t", "\x1c", "A", "<|endoftext|>", "e\u0301", "漢", "\u00a0", "=\u0338", "ŉ", "(x)"]
+    data = ["".join(r.choice(parts) for _ in range(r.randint(0, 40))) for _ in range(2_000)] + [None, ""]
+    monkeypatch.setattr(packing, "LOT_BYTES", 500)
+    texts = pa.array(data)
+    for a, b in packing._lots(texts):
+        ids, ends = tokenizer.encode_all(texts[a:b])
+        for i, t in enumerate(data[a:b]):
+            assert ids[ends[i - 1] if i else 0 : ends[i]].tolist() == tokenizer.tokenizer.encode(t or "", add_special_tokens=False).ids
+
+
 def test_windows():
     r = random.Random(6)
     for _ in range(60):
