@@ -19,7 +19,7 @@ def run(args: list[str] | None = None) -> None:
         print(f"$ total mora count: {count_line(spark, input(), validate=given.validate)}")
         return
     start = time.time()
-    total = count_file(spark, given.filename, validate=given.validate).agg({"morae": "sum"}).first()[0]
+    total = count_file(spark, given.filename, validate=given.validate).agg({"morae": "sum"}).first()[0] or 0
     print(f"$ source file: {os.path.abspath(given.filename)}\n$ processing time: {(time.time() - start) * 1000} ms\n$ total mora count: {total}")
 
 

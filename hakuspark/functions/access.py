@@ -40,13 +40,6 @@ def form_of(m: Column) -> Column:
     return F.when(F.size(m) > 0, F.concat(F.lit("<"), F.array_join(m, "><"), F.lit(">"))).when(m.isNotNull(), "")
 
 
-def part_brackets(kana: Column, start: Bound, end: Bound) -> Column:
-    """The bracket form of morae [start:end]."""
-    if not isinstance(start, Column) and not start and end is None:
-        return encoded(kana)
-    return let(morae(kana), lambda m: form_of(part(m, start, end)))
-
-
 def slice_morae(kana: Column, start: Bound = None, end: Bound = None, step: int | None = None, *, errors: str = "raise") -> Column:
     """Morae [start:end:step] as text. With a step, morae that would fuse are an error or null."""
     step = 1 if step is None else step

@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from hakuspark.functions.core import failing, mora_count, normalize
+from hakuspark.functions.core import failing, let, mora_count, normalize, put_together
 from hakuspark.functions.tables import LONG, ROWS, VOWELS
 
 #: The kana that write each vowel by themselves, large and small.
 LETTERS = {"A": "アァ", "I": "イィ", "U": "ウゥ", "E": "エェ", "O": "オォ"}
-#: A character that no text of this library holds, to mark places.
-MARK = "\ue000"
+#: What may follow in a pair that is replaced; few places pass this first test.
+_NEXT = f"(?s)(?=.[{''.join(LETTERS.values())}ン])"
 
 
 def _rules(ou: bool, ei: bool, nn: bool) -> list[tuple[str, str]]:
@@ -31,27 +31,19 @@ def vowel_to_choon(text: Column, maxrep: int = 1, *, clean: bool = False, ou: bo
     columns: a changed number of morae is an error or null.
     """
     out = text
-    if maxrep:
-        # One pass over runs: each alternative is a character before and up to maxrep vowel kana after it. For one, the
-        # mark is put right away; longer runs are first marked by their length.
-        rules, most = _rules(ou, ei, nn), "" if maxrep < 0 else str(maxrep)
+    if maxrep == 1:
+        rules = _rules(ou, ei, nn)
         groups = "".join(f"${i + 1}" for i in range(len(rules)))
-        if maxrep == 1:
-            out = F.regexp_replace(text, "|".join(f"([{before}])[{letters}]" for before, letters in rules), groups + LONG)
-        else:
-            run = lambda before, letters: f"([{before}])([{letters}]{{1,{most}}})"
-            if ou or ei:
-                # The extra pairs take one place only, so they are kept apart from the runs of equal vowels.
-                plain = _rules(False, False, nn)
-                extra = [(ROWS["O"], "[ウゥ]")] * ou + [(ROWS["E"], "[イィ]")] * ei
-                alternatives = [run(b, x) for b, x in plain] + [f"([{b}])({x})" for b, x in extra]
-            else:
-                alternatives = [run(b, x) for b, x in rules]
-            before = "".join(f"${2 * i + 1}" for i in range(len(alternatives)))
-            after = "".join(f"${2 * i + 2}" for i in range(len(alternatives)))
-            marked = F.regexp_replace(text, "|".join(alternatives), f"{before}{MARK}{after}{MARK}")
-            pieces = F.split(marked, MARK, -1)
-            out = F.array_join(F.transform(pieces, lambda x, i: F.when(i % 2 == 1, F.rpad(F.lit(""), F.length(x), LONG)).otherwise(x)), "")
+        out = F.regexp_replace(text, f"{_NEXT}(?:{'|'.join(f'([{before}])[{letters}]' for before, letters in rules)})", groups + LONG)
+    elif maxrep:
+        # Each hit is a character before and a run of vowel kana after it, which becomes a run of marks. The extra
+        # pairs take one place only, so they are kept apart from the runs of equal vowels.
+        most = "" if maxrep < 0 else str(maxrep)
+        runs = [f"[{before}][{letters}]{{1,{most}}}" for before, letters in _rules(False, False, nn)]
+        runs += [f"[{ROWS['O']}][ウゥ]"] * ou + [f"[{ROWS['E']}][イィ]"] * ei
+        pattern = f"{_NEXT}(?:{'|'.join(runs)})"
+        hits = F.transform(F.regexp_extract_all(text, F.lit(pattern), 0), lambda x: F.rpad(F.substring(x, 1, 1), F.length(x), LONG))
+        out = put_together(F.split(text, pattern, -1), hits)
     return _finished(text, out, clean, guard, errors)
 
 
@@ -60,9 +52,16 @@ def choon_to_vowel(text: Column, *, strict: bool = True, clean: bool = False, gu
 
     Where there is none, strict makes it an error or null; otherwise the mark stays.
     """
-    out = text
-    for vowel, kana in VOWELS.items():
-        out = F.regexp_replace(out, rf"(?:(?<=[{ROWS[vowel]}])|(?!\A)\G){LONG}", kana)
+    # What stands between marks and runs of marks take turns; the character before a run tells its vowel.
+    pieces = F.regexp_extract_all(text, F.lit(f"[^{LONG}]+|{LONG}+"), 0)
+    kana, vowels = "".join(ROWS.values()), "".join(VOWELS[v] * len(row) for v, row in ROWS.items())
+
+    def filled(all_: Column, x: Column, i: Column) -> Column:
+        before = F.substring(F.get(all_, i - 1), -1, 1)
+        run = F.rpad(F.lit(""), F.length(x), F.translate(before, kana, vowels))
+        return F.when(F.startswith(x, F.lit(LONG)) & F.instr(F.lit(kana), before).between(1, len(kana)), run).otherwise(x)
+
+    out = F.when(F.contains(text, F.lit(LONG)), let(pieces, lambda p: F.array_join(F.transform(p, lambda x, i: filled(p, x, i)), ""))).otherwise(text)
     if strict:
         out = failing(F.contains(out, F.lit(LONG)), "no vowel before a prolonged sound mark", out, errors)
     return _finished(text, out, clean, guard, errors)

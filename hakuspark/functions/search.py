@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from hakuspark.functions.access import Bound, bounds, part_brackets
-from hakuspark.functions.core import Text, brackets_of, encoded, failing, kana_of, let, marks, mora_count, places
+from hakuspark.functions.access import Bound, bounds
+from hakuspark.functions.core import Text, brackets_of, encoded, failing, kana_of, let, marks, part_of, places
 
-#: A character that no text of this library holds, in place of a hit.
+#: In place of a hit in a bracket form, which holds only katakana and brackets.
 HIT = "\ue000"
 
 
@@ -22,13 +22,30 @@ def contains(kana: Column, needle: Text) -> Column:
     return F.contains(kana, kana_of(needle)) & F.contains(encoded(kana), brackets_of(needle))
 
 
+def _within(kana: Column, start: Bound, end: Bound, result) -> Column:
+    """result(form, part, n, a, b) of a text's bracket form, that of its morae [a:b], and its number of morae."""
+
+    def given(form: Column) -> Column:
+        if start is None and end is None:
+            return let(marks(form), lambda n: result(form, form, n, F.lit(0), n))
+
+        def bounded(n: Column) -> Column:
+            a, b = bounds(n, start, end)
+            return let(F.struct(a.alias("a"), b.alias("b")), lambda r: let(part_of(form, r["a"], r["b"]), lambda part: result(form, part, n, r["a"], r["b"])))
+
+        return let(marks(form), bounded)
+
+    return let(encoded(kana), given)
+
+
 def _tail(kana: Column, needles: Text | tuple[Text, ...], start: Bound, end: Bound, test) -> Column:
-    form, n = part_brackets(kana, start, end), mora_count(kana)
-    a, b = bounds(n, start, end)
-    fits = F.lit(False)
-    for needle in needles if isinstance(needles, tuple) else (needles,):
-        fits = fits | test(form, brackets_of(needle))
-    return F.when(kana.isNotNull(), fits & (a <= b) & ~_beyond(start, n))
+    def fits(form: Column, part: Column, n: Column, a: Column, b: Column) -> Column:
+        some = F.lit(False)
+        for needle in needles if isinstance(needles, tuple) else (needles,):
+            some = some | test(part, brackets_of(needle))
+        return some & (a <= b) & ~_beyond(start, n)
+
+    return F.when(kana.isNotNull(), _within(kana, start, end, fits))
 
 
 def startswith(kana: Column, prefixes: Text | tuple[Text, ...], start: Bound = None, end: Bound = None) -> Column:
@@ -43,7 +60,7 @@ def endswith(kana: Column, suffixes: Text | tuple[Text, ...], start: Bound = Non
 def _found(kana: Column, needle: Text, start: Bound, end: Bound, charwise: bool, last: bool) -> Column:
     if charwise and not (start is None and end is None):
         raise TypeError("charwise can't be combined with bounds")
-    wanted, whole = brackets_of(needle), start is None and end is None
+    wanted = brackets_of(needle)
 
     def hit(form: Column) -> Column:
         if last:
@@ -51,18 +68,13 @@ def _found(kana: Column, needle: Text, start: Bound, end: Bound, charwise: bool,
             return F.when(back > 0, F.length(form) - back - F.length(wanted) + 2).otherwise(0)
         return F.instr(form, wanted)
 
-    def place(form: Column, n: Column) -> Column:
-        a, b = bounds(n, start, end)
-        before = lambda at: marks(F.substring(form, F.lit(1), at - 1))
-        found = let(hit(form), lambda at: F.when(at > 0, at - 1 - 2 * before(at) if charwise else before(at) + a).otherwise(-1))
+    def place(form: Column, part: Column, n: Column, a: Column, b: Column) -> Column:
+        before = lambda at: marks(F.substring(part, F.lit(1), at - 1))
+        found = let(hit(part), lambda at: F.when(at > 0, at - 1 - 2 * before(at) if charwise else before(at) + a).otherwise(-1))
         empty = (F.length(kana) if charwise else b) if last else a
         return F.when(_beyond(start, n), -1).when(wanted == "", F.when(a <= b, empty).otherwise(-1)).otherwise(found)
 
-    if whole:
-        at = let(encoded(kana), lambda form: place(form, marks(form)))
-    else:
-        at = let(mora_count(kana), lambda n: let(part_brackets(kana, start, end), lambda form: place(form, n)))
-    return F.when(kana.isNotNull() & wanted.isNotNull(), at).cast("int")
+    return F.when(kana.isNotNull() & wanted.isNotNull(), _within(kana, start, end, place)).cast("int")
 
 
 def find(kana: Column, needle: Text, start: Bound = None, end: Bound = None, *, charwise: bool = False) -> Column:
@@ -90,16 +102,11 @@ def count(kana: Column, needle: Text, start: Bound = None, end: Bound = None) ->
     """Number of hits in morae [start:end]; an empty needle counts the gaps."""
     wanted = brackets_of(needle)
 
-    def number(form: Column, n: Column) -> Column:
-        a, b = bounds(n, start, end)
-        hits = (F.length(form) - F.length(F.replace(form, wanted))) / F.greatest(F.length(wanted), F.lit(1))
+    def number(form: Column, part: Column, n: Column, a: Column, b: Column) -> Column:
+        hits = (F.length(part) - F.length(F.replace(part, wanted))) / F.greatest(F.length(wanted), F.lit(1))
         return F.when(_beyond(start, n), 0).when(wanted == "", F.greatest(b - a + 1, F.lit(0))).otherwise(hits)
 
-    if start is None and end is None:
-        counted = let(encoded(kana), lambda form: number(form, marks(form)))
-    else:
-        counted = let(mora_count(kana), lambda n: let(part_brackets(kana, start, end), lambda form: number(form, n)))
-    return F.when(kana.isNotNull() & wanted.isNotNull(), counted).cast("int")
+    return F.when(kana.isNotNull() & wanted.isNotNull(), _within(kana, start, end, number)).cast("int")
 
 
 def finditer(kana: Column, needle: Text, *, charwise: bool = False) -> Column:

@@ -18,14 +18,18 @@ Needle = Union[Text, "MoraCol"]
 class MoraCol:
     """A column of morae. Texts given to methods are literals, mora columns, or MoraCol.
 
-    errors is the policy of what this column's methods check: "raise" or "null".
+    errors is the policy of what this column's methods check: "raise" or "null". Literal needles go through the same
+    conversion table as the column.
     """
 
+    table: Mapping[str, str] = CONVERSION_TABLE
+
     def __init__(self, kana: Column | str | MoraCol = "", *, ignore: bool = False, errors: str = "raise", table: Mapping[str, str] = CONVERSION_TABLE, converter: Callable[[Column], Column] | None = None):
         self.errors = errors
         if isinstance(kana, MoraCol):
-            self.string = kana.string
+            self.string, self.table = kana.string, kana.table
         else:
+            self.table = table
             raw = kana if isinstance(kana, Column) else F.lit(kana)
             self.string = core.mora_str(raw, ignore=ignore, errors=errors, table=table, converter=converter)
 
@@ -37,19 +41,24 @@ class MoraCol:
         return made
 
     @classmethod
-    def fromstrs(cls, *parts: Column | Iterable[str], ignore: bool = False, errors: str = "raise") -> MoraCol:
-        return cls.of(core.from_strs(*parts, ignore=ignore, errors=errors), errors)
+    def fromstrs(cls, *parts: Column | Iterable[str], ignore: bool = False, errors: str = "raise", table: Mapping[str, str] = CONVERSION_TABLE, converter: Callable[[Column], Column] | None = None) -> MoraCol:
+        made = cls.of(core.from_strs(*parts, ignore=ignore, errors=errors, table=table, converter=converter), errors)
+        made.table = table
+        return made
 
     @staticmethod
-    def count_all(raw: Column, *, ignore: bool = False) -> Column:
-        return core.count_all(raw, ignore=ignore)
+    def count_all(raw: Column, *, ignore: bool = False, table: Mapping[str, str] = CONVERSION_TABLE, converter: Callable[[Column], Column] | None = None) -> Column:
+        return core.count_all(raw, ignore=ignore, table=table, converter=converter)
 
-    @staticmethod
-    def _text(value: Needle) -> Text:
+    def _text(self, value: Needle) -> Text:
+        if isinstance(value, str):
+            return core.literal(value, table=self.table)
         return value.string if isinstance(value, MoraCol) else value
 
     def _made(self, kana: Column) -> MoraCol:
-        return MoraCol.of(kana, self.errors)
+        made = MoraCol.of(kana, self.errors)
+        made.table = self.table
+        return made
 
     @property
     def length(self) -> Column:

@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hakuspark.functions import core
 
 
+def without_lines(text: Column) -> Column:
+    """A file's text on one line: line ends of any kind are taken out, as morae may span them."""
+    return F.translate(text, "\r\n", "")
+
+
 def whole_texts(spark: SparkSession, path: str) -> DataFrame:
-    """path and text of each UTF-8 file; line feeds are taken out, as morae may span them."""
+    """path and text, on one line, of each UTF-8 file that isn't empty."""
     files = spark.read.text(path, wholetext=True)
-    return files.select(F.col("_metadata.file_path").alias("path"), F.replace("value", F.lit("\n")).alias("text"))
+    return files.select(F.col("_metadata.file_path").alias("path"), without_lines(F.col("value")).alias("text"))
 
 
 def kana_lines(spark: SparkSession, path: str, *, ignore: bool = True) -> DataFrame:
@@ -20,7 +25,7 @@ def kana_lines(spark: SparkSession, path: str, *, ignore: bool = True) -> DataFr
 
 
 def count_file(spark: SparkSession, path: str, *, validate: bool = False) -> DataFrame:
-    """path and number of morae of each file."""
+    """path and number of morae of each file that isn't empty."""
     return whole_texts(spark, path).select("path", core.count_all(F.col("text"), ignore=not validate).alias("morae"))
 
 

@@ -35,8 +35,8 @@ def within(spark, column, text, seconds):
 
 
 def test_finditer(spark, seeds):
-    assert sum("ウ" in m[60:] for m in seeds.values()) > 100  # beyond what the query finditer takes
-    against(spark, seeds, "finditer_whole", lambda m: {"hits": ",".join(map(str, M.hits(m, ["ウ"])))})
+    assert sum("ウ" in m[60:] for m in seeds.values()) > 100
+    against(spark, seeds, "finditer", lambda m: {"hits": ",".join(map(str, M.hits(m, ["ウ"])))})
 
 
 def test_finditer_long(spark):
@@ -47,8 +47,8 @@ def test_finditer_long(spark):
 
 
 def test_char_indices(spark, seeds):
-    assert sum(len(m) > 30 for m in seeds.values()) > 100  # beyond what the query char_indices takes
-    against(spark, seeds, "char_indices_whole", lambda m: {"ends": ",".join(map(str, accumulate(map(len, m), initial=0)))})
+    assert sum(len(m) > 30 for m in seeds.values()) > 100
+    against(spark, seeds, "char_indices", lambda m: {"ends": ",".join(map(str, accumulate(map(len, m), initial=0)))})
 
 
 def test_char_indices_long(spark):
@@ -60,16 +60,19 @@ def test_whole_joins(spark, seeds):
     def put(m, new):
         return M.joined([x for one in m for x in (new, one)] + [new])
 
+    def large(m):
+        return "".join(m).translate(str.maketrans(catalog.TINY, catalog.LARGE))
+
     def split(m):
         k, half = "".join(m), len("".join(m)) // 2
         return k[:half] + "シャ" + k[half:]
 
-    against(spark, seeds, "insert_between_whole", lambda m: {"kana": put(m, "ト"), "same_vowel": put(m, "カ")})
+    against(spark, seeds, "insert_between", lambda m: {"kana": put(m, "ト"), "same_vowel": put(m, "カ"), "limited": "".join("ト" + c if i < 3 else c for i, c in enumerate(large(m))) + "ト" * (len(large(m)) < 3)})
     assert sum(put(m, "カ") is not None for m in seeds.values()) > 100
-    against(spark, seeds, "concat_whole", lambda m: {"both": "".join(m) + "カ", "same": "".join(m), "swapped": M.joined(m[len(m) // 2 :] + m[: len(m) // 2])})
-    against(spark, seeds, "repeat_whole", lambda m: {"thrice": M.joined(m * 3)})
-    against(spark, seeds, "slice_step_whole", lambda m: {"every": M.joined(m[::3]), "back": M.joined(m[::-1])})
-    against(spark, seeds, "fromstrs_whole", lambda m: {"kana": split(m)})
+    against(spark, seeds, "concat", lambda m: {"both": "".join(m) + "カ", "same": "".join(m), "swapped": M.joined(m[len(m) // 2 :] + m[: len(m) // 2])})
+    against(spark, seeds, "repeat", lambda m: {"thrice": M.joined(m * 3), "large": large(m) * 2})
+    against(spark, seeds, "slice_step", lambda m: {"every": M.joined(m[::3]), "back": M.joined(m[::-1]), "large_every": large(m)[1::2], "large_back": large(m)[::-1]})
+    against(spark, seeds, "fromstrs", lambda m: {"kana": split(m)})
 
 
 def test_choon_runs(spark, tmp_path):
@@ -78,5 +81,5 @@ def test_choon_runs(spark, tmp_path):
     spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     seeded = {r["doc_id"]: r["k"] for r in catalog.documents(spark, str(tmp_path), catalog.TO_LONG).collect()}
     assert sum("ー" * 5 in k for k in seeded.values()) >= 5
-    got = {r["doc_id"]: r["kana"] for r in catalog.queries()["choon_to_vowel_whole"](spark, str(tmp_path)).collect()}
+    got = {r["doc_id"]: r["kana"] for r in catalog.queries()["choon_to_vowel"](spark, str(tmp_path)).collect()}
     assert got == {i: M.choon_to_vowel(k) for i, k in seeded.items()}
