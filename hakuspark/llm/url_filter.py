@@ -1,28 +1,36 @@
 """URL filters: a blocked Bloom filter of listed canonical URLs, then an exact hash join.
 
-Every URL yields the canonical keys under which a rule could list it (host suffixes with path prefixes, only of
-the label counts and path lengths that rules have). Keys whose eight bits are set in their block of the filter go
-on to an exact join with the rules, which removes false positives. The longest rule that fits decides.
+Every distinct URL yields the canonical keys under which a rule could list it: host suffixes with path prefixes, only
+of the label counts and path lengths that rules have. Keys whose eight bits are set in their block of the filter, and
+no others, go on to an exact join with the rules, which removes false positives. The longest rule that fits decides;
+what is decided is joined back to the rows, and all others get the default verdict.
+
+The filter is probed where keys are made, if it takes at most FILTER_BYTES. That of a longer list is a table of
+blocks, which the distinct keys are joined with, and the rules of the keys that pass take the place of the list.
 
 Defined cases: a null URL, or one without ``://``, has an empty host and path and fits no rule; repeated rows are
-each judged; an empty list leaves the default verdict; other columns of the input are ignored.
+each judged; an empty list leaves the default verdict; if one host and path is listed twice, the smaller verdict
+holds; very long URLs yield keys of the listed lengths only; other columns of the input are ignored.
 """
 
 from __future__ import annotations
 
+import json
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hakuspark.llm.common import BROADCAST_ROWS, literal_rows, table
+from hakuspark.llm.common import BROADCAST_ROWS, literal_rows, stored, table
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: (host, path, verdict) of the registered query.
 RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
 WORDS = 8
 BITS_PER_KEY = 16
+#: What may be broadcast besides BROADCAST_ROWS: characters of rules or URLs, and bytes of the filter.
 BROADCAST_CHARS = 16_000_000
+FILTER_BYTES = 8_000_000
 
 
 def host_of(url: Column) -> Column:
@@ -56,36 +64,68 @@ def bloom_blocks(rules: DataFrame, blocks: int) -> DataFrame:
     return bits.groupBy("b_block").agg(*(F.bit_or(f"_w{i}").alias(f"b_{i}") for i in range(WORDS)))
 
 
+def candidate_keys(host: Column, path: Column, shapes: list[tuple[int, int]]) -> Column:
+    """(k_host, k_path) for every (dots in the host, length of the path) of shapes that a URL has."""
+    lengths = [sorted(n for d, n in shapes if d == dots) for dots in range(max(d for d, _ in shapes) + 1)]
+    table_ = F.from_json(F.lit(json.dumps(lengths)), "array<array<int>>")
+    dots = F.least(F.length(host) - F.length(F.replace(host, F.lit("."))), F.lit(len(lengths) - 1))
+
+    def of_suffix(d: Column) -> Column:
+        suffix = F.call_function("substring_index", host, F.lit("."), -(d + 1))
+        fitting = F.filter(F.element_at(table_, d + 1), lambda n: n <= F.length(path))
+        return F.transform(fitting, lambda n: F.struct(suffix.alias("k_host"), F.substring(path, F.lit(1), n).alias("k_path")))
+
+    return F.flatten(F.transform(F.sequence(F.lit(0), dots), of_suffix))
+
+
+def _passes(words: list[Column]) -> Column:
+    """Whether a key's bits are all set in the words of its block."""
+    bits = _bits(F.col("k_host"), F.col("k_path"))
+    return reduce(lambda a, b: a & b, (w.bitwiseAND(b) == b for w, b in zip(words, bits)))
+
+
+def possible_hits(keys: DataFrame, listed: DataFrame, blocks: int) -> tuple[DataFrame, DataFrame]:
+    """The rows of keys that the filter of listed lets pass, and the rules that they can hit."""
+    bloom, at = bloom_blocks(listed, blocks), _block(F.col("k_host"), F.col("k_path"), blocks)
+    if blocks * WORDS * 8 <= FILTER_BYTES:
+        words = F.struct(*(F.coalesce(f"b_{i}", F.lit(0).cast("long")).alias(f"b_{i}") for i in range(WORDS)))
+        whole = keys.sparkSession.range(blocks).join(bloom, F.col("id") == F.col("b_block"), "left").select("id", words.alias("w"))
+        array = whole.agg(F.array_sort(F.collect_list(F.struct("id", "w"))).alias("f")).scalar()
+        block = F.get(array, at.cast("int"))["w"]
+        return keys.where(_passes([block[f"b_{i}"] for i in range(WORDS)])), listed
+    distinct = keys.select("k_host", "k_path").distinct().withColumn("_at", at)
+    passed = distinct.join(bloom, F.col("_at") == F.col("b_block")).where(_passes([F.col(f"b_{i}") for i in range(WORDS)]))
+    hit = listed.join(passed.select("k_host", "k_path"), (F.col("r_host") == F.col("k_host")) & (F.col("r_path") == F.col("k_path")), "left_semi")
+    return keys, stored(hit, "rules")
+
+
+def _near(df: DataFrame, *texts: str) -> DataFrame:
+    """df, marked for broadcast if it is small in rows and characters."""
+    facts = df.agg(F.count("*").alias("n"), F.coalesce(F.sum(sum((F.length(t) for t in texts), F.lit(0))), F.lit(0)).alias("chars")).first()
+    return F.broadcast(df) if facts["n"] <= BROADCAST_ROWS and facts["chars"] <= BROADCAST_CHARS else df
+
+
 def judge_urls(urls: DataFrame, rules: DataFrame, key: str = "page_id", url: str = "url", default: str = "allow") -> DataFrame:
-    """Return key, host, path, rule and verdict for every row of urls.
+    """Return key, host, path, rule and verdict for every row of urls; rules has host, path and verdict.
 
-    rules has host, path and verdict; if one host and path is listed twice, the smaller verdict holds. The list is
-    broadcast only up to BROADCAST_ROWS rules and BROADCAST_CHARS characters; a longer one is shuffled, and so is
-    its filter.
+    Rules, and decided URLs, are broadcast only up to BROADCAST_ROWS and BROADCAST_CHARS; beyond, both sides of a join
+    are shuffled.
     """
-    listed = rules.where("host is not null and path is not null").groupBy(F.translate("host", UPPER, LOWER).alias("r_host"), F.col("path").alias("r_path")).agg(F.min("verdict").alias("r_verdict"))
-    facts = listed.agg(F.count("*").alias("n"), F.sum(F.length("r_host") + F.length("r_path")).alias("chars"), F.collect_set(F.struct((F.length("r_host") - F.length(F.replace(F.col("r_host"), F.lit(".")))).alias("dots"), F.length("r_path").alias("n"))).alias("shapes")).first()
-    pages = urls.select(F.col(key).alias("_key"), host_of(F.col(url)).alias("_host"), path_of(F.col(url)).alias("_path"), F.monotonically_increasing_id().alias("_row"))
-    pages = pages.select("_key", F.coalesce("_host", F.lit("")).alias("_host"), F.coalesce("_path", F.lit("")).alias("_path"), "_row")
+    given = rules.where("host is not null and path is not null").groupBy(F.translate("host", UPPER, LOWER).alias("r_host"), F.col("path").alias("r_path")).agg(F.min("verdict").alias("r_verdict"))
+    listed = stored(given, "rules")
+    dots = F.length("r_host") - F.length(F.replace(F.col("r_host"), F.lit(".")))
+    facts = listed.agg(F.count("*").alias("n"), F.collect_set(F.struct(dots.alias("d"), F.length("r_path").alias("n"))).alias("shapes")).first()
+    pages = urls.select(F.col(key).alias("_key"), F.coalesce(host_of(F.col(url)), F.lit("")).alias("_host"), F.coalesce(path_of(F.col(url)), F.lit("")).alias("_path"))
     if not facts["n"]:
         return pages.select(F.col("_key").alias(key), F.col("_host").alias("host"), F.col("_path").alias("path"), F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict"))
+    keys = pages.select("_host", "_path").distinct().select("_host", "_path", F.explode(candidate_keys(F.col("_host"), F.col("_path"), [tuple(s) for s in facts["shapes"]])).alias("k"))
     blocks = max(1, facts["n"] * BITS_PER_KEY // (64 * WORDS))
-    fits = facts["n"] <= BROADCAST_ROWS and facts["chars"] <= BROADCAST_CHARS
-    near = F.broadcast if fits else lambda df: df
-
-    dots = F.length("_host") - F.length(F.replace(F.col("_host"), F.lit(".")))
-    keys = F.array(*(F.when((dots >= d) & (F.length("_path") >= n), F.struct(F.substring_index("_host", ".", -(d + 1)).alias("k_host"), F.substring("_path", 1, n).alias("k_path"))) for d, n in sorted((s["dots"], s["n"]) for s in facts["shapes"])))
-    asked = pages.withColumn("_k", F.explode_outer(F.filter(keys, lambda k: k.isNotNull())))
-    asked = asked.withColumns({"k_host": F.col("_k.k_host"), "k_path": F.col("_k.k_path")}).drop("_k")
-    asked = asked.withColumn("_at", F.coalesce(_block(F.col("k_host"), F.col("k_path"), blocks), F.lit(-1)))
-    hit = asked.join(near(bloom_blocks(listed, blocks)), F.col("_at") == F.col("b_block"), "left")
-    passed = reduce(lambda a, b: a & b, (F.col(f"b_{i}").bitwiseAND(b) == b for i, b in enumerate(_bits(F.col("k_host"), F.col("k_path")))))
-    # Keys that the filter rejects get a join key of their own, so that they do not meet in one partition.
-    hit = hit.select("_key", "_host", "_path", "_row", F.when(passed, F.col("k_host")).otherwise(F.concat(F.lit("\n"), F.col("_row"))).alias("k_host"), "k_path")
-    fit = hit.join(near(listed), (F.col("k_host") == F.col("r_host")) & (F.col("k_path") == F.col("r_path")), "left")
-    best = F.max(F.when(F.col("r_host").isNotNull(), F.struct((F.length("r_host") + F.length("r_path")).alias("n"), F.length("r_host").alias("h"), "r_host", "r_path", "r_verdict"))).alias("_best")
-    judged = fit.groupBy("_row", "_key", "_host", "_path").agg(best)
-    return judged.select(F.col("_key").alias(key), F.col("_host").alias("host"), F.col("_path").alias("path"), F.concat("_best.r_host", "_best.r_path").alias("rule"), F.coalesce("_best.r_verdict", F.lit(default)).alias("verdict"))
+    possible, listed = possible_hits(keys.select("_host", "_path", "k.*"), listed, blocks)
+    fit = possible.join(_near(listed, "r_host", "r_path"), (F.col("k_host") == F.col("r_host")) & (F.col("k_path") == F.col("r_path")))
+    best = F.max(F.struct((F.length("r_host") + F.length("r_path")).alias("n"), F.length("r_host").alias("h"), "r_host", "r_path", "r_verdict")).alias("_best")
+    decided = stored(fit.groupBy(F.col("_host").alias("d_host"), F.col("_path").alias("d_path")).agg(best).select("d_host", "d_path", F.concat("_best.r_host", "_best.r_path").alias("rule"), F.col("_best.r_verdict").alias("_verdict")), "decided")
+    judged = pages.join(_near(decided, "d_host", "d_path"), (F.col("_host") == F.col("d_host")) & (F.col("_path") == F.col("d_path")), "left")
+    return judged.select(F.col("_key").alias(key), F.col("_host").alias("host"), F.col("_path").alias("path"), "rule", F.coalesce("_verdict", F.lit(default)).alias("verdict"))
 
 
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
