@@ -6,19 +6,22 @@ first-order character models, favours the model of random strings by MARGIN. Bot
 samples: random strings made from digests, and ordinary words and identifiers. Everything is Spark expressions.
 
 Positions are code points, end exclusive. A span's start is the length of the gaps and matches before it, as
-split() and regexp_extract_all() give them in turn.
+split() and regexp_extract_all() give them in turn. All steps take time in proportion to a text and its spans.
 
-Defined cases: a null text is an empty one; a text without spans has an empty list; repeated rows are each scanned;
-other columns are ignored. Texts are scanned whole.
+Defined cases: a null text is an empty one; a text without spans has an empty list; an empty table has no rows (and
+the models then know random strings and identifiers only); spans of equal start come in the order of kinds; equal
+spans of two kinds are both given; repeated rows are each scanned; other columns are ignored. Texts are scanned whole.
 """
 
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from hakuspark.functions.core import let, places
 from hakuspark.llm.common import literal_rows, mask_of, masked, table, unmasked
 
 # The base patterns. A run of [0-9a-f]+ of 16 or more characters is what {16,} finds; likewise AKIA.
@@ -31,27 +34,34 @@ KINDS = ["assign", "access", "hex", "random"]
 CANDIDATE = r"[A-Za-z0-9_+/-]{20,}={0,2}"
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789_+/-="
 MARGIN = 12.0
-#: The ordinary sample: words of about so many distinct texts, drawn by a hash of the text, and these identifiers.
+#: The ordinary sample: words of about so many distinct texts, drawn by a hash of the text, alone or as parts of
+#: identifiers, and these identifiers.
 SAMPLE_DOCS = 2_000
 SAMPLE_RANDOM = 2_000
-IDENTIFIERS = "getElementById addEventListener removeEventListener setRequestHeader hasOwnProperty toLocaleUpperCase createDocumentFragment internal_server_error connection_timeout_ms max_retry_count default_value_or_none user_profile_settings is_authenticated_user content_type_options last_modified_since ArrayIndexOutOfBoundsException IllegalArgumentException NullPointerException AbstractFactoryBuilder DocumentProcessingPipeline repartitionByRange monotonically_increasing_id application-configuration background-color-primary read-only-file-system"
+IDENTIFIERS = "getElementById addEventListener removeEventListener setRequestHeader hasOwnProperty toLocaleUpperCase createDocumentFragment internal_server_error connection_timeout_ms max_retry_count default_value_or_none user_profile_settings is_authenticated_user content_type_options last_modified_since ArrayIndexOutOfBoundsException IllegalArgumentException NullPointerException AbstractFactoryBuilder DocumentProcessingPipeline repartitionByRange monotonically_increasing_id application-configuration background-color-primary read-only-file-system utf8_to_utf16_converter sha256_file_checksum base64EncodedString http2_stream_identifier x86_64-unknown-linux-gnu float32_to_float64 ipv4_address_prefix page_2_of_17_results test_case_0042_retry build-2024-01-15-nightly"
 _SPANS = "array<struct<kind:string,start:int,end:int>>"
 
 
 def _spans(text: Column, kind: str, pattern: str, keep=None) -> Column:
     """Spans of the leftmost non-overlapping matches that keep() accepts."""
     found, gaps = F.regexp_extract_all(text, F.lit(pattern), 0), F.split(text, pattern, -1)
-    none = F.array().cast(_SPANS)
+    dots = lambda n: F.rpad(F.lit(""), n, ".")
+    drawn = F.zip_with(F.slice(gaps, 1, F.size(found)), found, lambda gap, hit: F.concat(dots(F.length(gap)), F.lit("<"), dots(F.length(hit) - 1)))
+    span = lambda hit, start: F.struct(F.lit(kind).alias("kind"), start.cast("int").alias("start"), (start + F.length(hit)).cast("int").alias("end"), hit.alias("hit"))
+    spans = F.zip_with(found, places(F.array_join(drawn, ""), "<"), span)
+    kept = F.filter(spans, lambda s: keep(s["hit"])) if keep else spans
+    return F.when(text.rlike(pattern), F.transform(kept, lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end")))).otherwise(F.array().cast(_SPANS))
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.length(x["gap"])
-        end = start + F.length(x["hit"])
-        span = F.array(F.struct(F.lit(kind).alias("kind"), start.alias("start"), end.alias("end"))).cast(_SPANS)
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.when(keep(x["hit"]), span).otherwise(none) if keep else span).alias("out"))
 
-    pairs = F.zip_with(found, F.slice(gaps, 1, F.size(found)), lambda h, g: F.struct(h.alias("hit"), g.alias("gap")))
-    walked = F.aggregate(pairs, F.struct(F.lit(0).alias("at"), none.alias("out")), step, lambda acc: acc["out"])
-    return F.when(text.rlike(pattern), walked).otherwise(none)
+def covered(spans: Column, n: Column) -> Column:
+    """For each of n characters whether a span holds it. Spans come by start, and those of a kind don't overlap."""
+
+    def of(kind: str) -> Column:
+        drawn = lambda all_: F.transform(all_, lambda s, i: F.concat(F.array_repeat(F.lit(False), s["start"] - F.coalesce(F.get(all_, i - 1)["end"], F.lit(0))), F.array_repeat(F.lit(True), s["end"] - s["start"])))
+        rest = lambda all_: F.array_repeat(F.lit(False), n - F.coalesce(F.try_element_at(all_, F.lit(-1))["end"], F.lit(0)))
+        return let(F.filter(spans, lambda s: s["kind"] == kind), lambda all_: F.concat(F.flatten(drawn(all_)), rest(all_)))
+
+    return reduce(lambda a, b: F.zip_with(a, b, lambda x, y: x | y), map(of, KINDS))
 
 
 def _ordered(spans: Column) -> Column:
@@ -66,13 +76,17 @@ def base_spans(text: Column) -> Column:
 
 
 def labelled_samples(docs: DataFrame, text: str = "text", sample_docs: int = SAMPLE_DOCS) -> DataFrame:
-    """Rows of token and is_random: digests in two notations; words of a bounded sample of docs, and identifiers."""
+    """Rows of token and is_random: digests in three notations; words of a bounded sample of docs, and identifiers."""
     spark, texts = docs.sparkSession, docs.select(F.col(text).alias("t"), F.xxhash64(text).alias("h"))
     n = texts.select("h").distinct().count()
     digest = F.unhex(F.sha2(F.col("id").cast("string"), 256))
     random = spark.range(SAMPLE_RANDOM).select(F.explode(F.array(F.rtrim(F.base64(digest), F.lit("=")), F.lower(F.hex(digest)), F.translate(F.base64(digest), "abcdefghijklmnopqrstuvwxyz+/=", "ABCDEFGHIJKLMNOPQRSTUVWXYZ89"))).alias("token"), F.lit(True).alias("is_random"))
     drawn = texts.where(F.pmod("h", F.lit(1_000_003)) < min(1.0, sample_docs / max(n, 1)) * 1_000_003).groupBy("h").agg(F.min("t").alias("t"))
-    words = drawn.select(F.explode(F.regexp_extract_all("t", F.lit("[A-Za-z]{4,}"), 0)).alias("token"), F.lit(False).alias("is_random"))
+    # Words stand alone, or twice as the parts of identifiers do: with a sign between, or each with a capital.
+    words = drawn.select(F.explode(F.regexp_extract_all("t", F.lit("[A-Za-z]{4,}"), 0)).alias("w"))
+    style, capital = F.pmod(F.xxhash64("w"), F.lit(4)), F.initcap("w")
+    joined = F.when(style == 0, F.col("w")).when(style == 1, F.concat_ws("_", "w", "w")).when(style == 2, F.concat_ws("-", "w", "w")).otherwise(F.concat(capital, capital))
+    words = words.select(joined.alias("token"), F.lit(False).alias("is_random"))
     names = literal_rows(spark, ["token", "is_random"], [(x, False) for x in IDENTIFIERS.split()])
     return random.unionByName(words).unionByName(names)
 
@@ -111,22 +125,17 @@ def find_secrets(docs: DataFrame, model: list[float] | None = None, text: str =
     whole = F.coalesce(F.col(text), F.lit(""))
     based = docs.withColumn("secrets", base_spans(whole))
     found = _spans(whole, "random", CANDIDATE, lambda hit: ratio(hit, model) > MARGIN)
-    # Base spans come by start: how far they cover a span from its start on without a gap.
-    reach = lambda s: F.aggregate("secrets", s["start"], lambda at, b: F.when(b["start"] <= at, F.greatest(at, b["end"])).otherwise(at))
-    free = F.filter(found, lambda s: reach(s) < s["end"])
-    return based.withColumn("secrets", _ordered(F.concat("secrets", free)))
+    held = F.when(F.size(found) > 0, covered(F.col("secrets"), F.length(whole)))
+    free = let(held, lambda flags: F.filter(found, lambda s: F.exists(F.slice(flags, s["start"] + 1, s["end"] - s["start"]), lambda x: ~x)))
+    return based.withColumn("secrets", F.when(F.size(found) > 0, _ordered(F.concat("secrets", free))).otherwise(F.col("secrets")))
 
 
 def redact(docs: DataFrame, model: list[float] | None = None, text: str = "text", mark: str = "[SECRET]") -> DataFrame:
-    """docs with each span, or run of overlapping ones, replaced by a mark; null texts stay null."""
+    """docs with each run of characters that spans hold replaced by a mark; null texts stay null."""
     name = mask_of(docs, text)
     found, whole = find_secrets(masked(docs), model, name), F.col(name)
-
-    def step(acc: Column, s: Column) -> Column:
-        gap = F.concat(acc["out"], F.substring(whole, acc["at"] + 1, s["start"] - acc["at"]), F.lit(mark))
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(s["start"] >= acc["at"], gap).otherwise(acc["out"]).alias("out"))
-
-    clean = F.aggregate("secrets", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda acc: F.concat(acc["out"], F.substring(whole, acc["at"] + 1, F.length(whole))))
+    left = lambda flags: F.transform(F.split(whole, ""), lambda c, i: F.when(~F.get(flags, i), c).when(F.coalesce(F.get(flags, i - 1), F.lit(False)), "").otherwise(mark))
+    clean = let(covered(F.col("secrets"), F.length(whole)), lambda flags: F.array_join(left(flags), ""))
     return unmasked(found.withColumn(name, F.when(F.size("secrets") > 0, clean).otherwise(whole)), docs)
 
 
