@@ -11,8 +11,8 @@ GRAMS most frequent, seen at least twice, and not SHARE times as frequent in ano
 
 Defined cases: a text that is null or has no letter is ``und`` with score 0; a text of unknown n-grams gets the
 first language by name with score 0; without any labelled row all are ``und``; ties go to the first name;
-repeated rows are each judged; other columns of the input are ignored. Texts are read whole, in slices of SLICE
-characters that overlap by the n-gram length; at a cut, a run between words may be read as a shorter one.
+an empty table has no rows; repeated rows are each judged; other columns of the input are ignored. Texts are read
+whole; long ones in slices of SLICE characters, with the same n-grams as at once.
 """
 
 from __future__ import annotations
@@ -81,20 +81,41 @@ def _gram_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return _mixed(h[word]), np.bincount(owned[1 : 1 + len(h)][word], minlength=len(texts))
 
 
-def _slices(texts: list[str]) -> Iterator[tuple[list[str], list[int]]]:
-    """Bounded lots of (part of a text, index of the text)."""
+def _long_hashes(text: str) -> Iterator[np.ndarray]:
+    """What _gram_hashes gives for one text, by slices: each goes on from the last characters of the one before."""
+    tail, after_letter = np.full(1, 32, np.uint64), True
+    for at in range(0, len(text), SLICE):
+        codes = np.frombuffer(text[at : at + SLICE].encode("utf-32-le", "surrogatepass"), np.uint32)
+        letter = _letters()[codes]
+        kept = letter | np.concatenate(([after_letter], letter[:-1]))
+        after_letter = bool(letter[-1])
+        end = [np.full(1, 32, np.uint64)] * (at + SLICE >= len(text))
+        stream = np.concatenate((tail, np.where(letter, codes, 32)[kept].astype(np.uint64), *end))
+        h, word = np.zeros(max(0, len(stream) - N + 1), np.uint64), np.zeros(max(0, len(stream) - N + 1), np.bool_)
+        for i in range(N):
+            part = stream[i : i + len(h)]
+            h = h * np.uint64(0x9E3779B97F4A7C15) + part
+            word |= part != 32
+        yield _mixed(h[word])
+        tail = stream[-(N - 1) :]
+
+
+def _lots(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, list[int]]]:
+    """Bounded lots of n-gram hashes, how many each text has there, and the texts' indices."""
     parts, owners, size = [], [], 0
     for i, text in enumerate(texts):
-        for at in range(0, max(1, len(text)), SLICE):
-            part = text[max(0, at - N + 1) : at + SLICE]
-            parts.append(part)
-            owners.append(i)
-            size += len(part)
-            if size >= SLICE:
-                yield parts, owners
-                parts, owners, size = [], [], 0
+        if len(text) > SLICE:
+            for hashes in _long_hashes(text):
+                yield hashes, np.array([len(hashes)]), [i]
+            continue
+        parts.append(text)
+        owners.append(i)
+        size += len(text)
+        if size >= SLICE:
+            yield *_gram_hashes(parts), owners
+            parts, owners, size = [], [], 0
     if parts:
-        yield parts, owners
+        yield *_gram_hashes(parts), owners
 
 
 class LanguageModel:
@@ -126,8 +147,7 @@ class LanguageModel:
         counts = np.zeros((len(texts), len(self.languages)))
         total = np.zeros(len(texts))
         lettered = np.zeros(len(texts), np.bool_)
-        for parts, owners in _slices([(t or "").lower() for t in texts]):
-            hashes, each = _gram_hashes(parts)
+        for hashes, each, owners in _lots([(t or "").lower() for t in texts]):
             ends = np.concatenate(([0], np.cumsum(each)))
             for i in range(len(self.languages)):
                 masks = masks if i % WORD else self.containing(hashes, i // WORD)
@@ -157,8 +177,8 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", sample_docs
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for (language, copies), texts in batch.groupby(["l", "c"])["t"]:
-                for parts, _ in _slices([t.lower() for t in texts]):
-                    hashes, n = np.unique(_gram_hashes(parts)[0], return_counts=True)
+                for found, _, _ in _lots([t.lower() for t in texts]):
+                    hashes, n = np.unique(found, return_counts=True)
                     yield pd.DataFrame({"l": language, "g": hashes.view(np.int64), "n": n, "seen": n * copies})
 
     counted = drawn.mapInPandas(count, "l string, g long, n long, seen long").groupBy("l", "g").agg(F.sum("n").alias("n"), F.sum("seen").alias("seen")).where("seen >= 2")
