@@ -34,7 +34,7 @@ END_ID = 1
 TOKENIZER = "word_bpe_49k.json"
 BUCKET_ROWS = 5_000
 #: Texts of about so many bytes are encoded together, and so many pieces come out at once.
-LOT_BYTES = 4_000_000
+LOT_BYTES = 1_000_000
 BATCH_PIECES = 8_192
 _RANKS = np.int64(1) << 44
 
@@ -78,6 +78,9 @@ def cut_documents(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id:
         for batch in batches:
             for a, b in _lots(batch.column("_text")) if len(batch) else ():
                 yield from lot(tokenizer, batch.column("_key")[a:b], batch.column("_text")[a:b])
+        # The worker goes on to other tasks, and stages, that need the memory.
+        tokenizer.memo.forget()
+        pa.default_memory_pool().release_unused()
 
     source = docs.select(F.col(key).cast("long").alias("_key"), F.col(text).alias("_text"))
     return source.mapInArrow(cut, "_key long, start long, length long, doc_tokens long, ids_crc32 long, ids binary")
