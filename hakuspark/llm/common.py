@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: A side of a join is broadcast only if it has at most so many rows (of a few numbers each).
@@ -55,6 +56,21 @@ def small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
+def numbered(docs: DataFrame, name: str) -> DataFrame:
+    """docs and a number for each row, the same whenever and wherever it is read: that of its file, and its place there.
+
+    A frame that doesn't come from files with such places is stored first.
+    """
+    place = [F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_at")]
+    try:
+        found = docs.select("*", *place)
+    except AnalysisException:
+        found = stored(docs, "docs").select("*", *place)
+    files = stored(found.select("_file").distinct().select("_file", F.row_number().over(Window.orderBy("_file")).cast("long").alias("_no")), "files")
+    joined = found.join(small(files, files.count()), "_file")
+    return joined.select(*docs.columns, (F.shiftleft("_no", 40) + F.col("_at")).alias(name))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

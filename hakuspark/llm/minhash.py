@@ -12,10 +12,11 @@ meet in a bucket. Links are looked for in two rounds, and every one is confirmed
 2. where a bucket still holds several components, its members against those of other components.
 
 In the second round, buckets of at most SMALL members give pairs; larger ones, joined where they share members, are
-cut into blocks (of one component where it fills blocks, mixed otherwise), and pairs of blocks are compared, except
-those of one and the same component. So no pair of one bucket that could join two components is left out, yet a
-group of mutual copies costs rows in proportion to its members. Parts and blocks hold at most PART_TEXTS texts and
-about PART_SHINGLES shingles.
+cut into blocks (of one component where it fills blocks, mixed otherwise), and pairs of blocks that meet in a bucket
+are compared, except those of one and the same component. So no pair of one bucket that could join two components is
+left out, yet a group of mutual copies costs rows in proportion to its members. The first round's parts hold at most
+FIRST_TEXTS texts and about FIRST_SHINGLES shingles, the second's blocks PART_TEXTS and PART_SHINGLES. What is joined
+by a key that a third of all rows may have is stored first, so that Spark can split such a join.
 
 Defined cases: a null text, or one without words, has an empty set and links with nothing; with fewer words than a
 shingle the whole sequence is one shingle; rows that repeat are one class; a component's id is its smallest non-null
@@ -32,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hakuspark.llm.common import mask_of, masked, small, small_batches, stored, table, unmasked
+from hakuspark.llm.common import mask_of, masked, numbered, small, small_batches, stored, table, unmasked
 from hakuspark.llm.components import components, roots, unite
 from hakuspark.llm.packing import _nullable
 
@@ -42,6 +43,8 @@ ROWS = 6
 BANDS = 46
 PERMUTATIONS = ROWS * BANDS // 2
 SMALL = 16
+FIRST_TEXTS = 128
+FIRST_SHINGLES = 60_000
 PART_TEXTS = 1_024
 PART_SHINGLES = 500_000
 CHUNK = 2_048
@@ -193,15 +196,16 @@ def compare(groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return stored(rows.mapInPandas(_match(percent), "a long, b long"), "links")
 
 
-def _parts(texts, total):
+def _parts(texts, total, most_texts: int, most_shingles: int):
     """How many parts so many texts and shingles take."""
-    return F.greatest(F.ceil(texts / PART_TEXTS), F.ceil(total / PART_SHINGLES), F.lit(1)).cast("long")
+    return F.greatest(F.ceil(texts / most_texts), F.ceil(total / most_shingles), F.lit(1)).cast("long")
 
 
 def _against_least(members: DataFrame, percent: int) -> DataFrame:
     """Groups of the first round: the least member of buckets, and in parts the others of its buckets."""
     pairs = members.where(F.col("cid") != F.col("least.cid")).where(100 * F.least("n", "least.n") >= percent * F.greatest("n", "least.n")).select(F.col("least.cid").alias("at"), "cid", "n").distinct()
-    parts = pairs.groupBy("at").agg(_parts(F.count("*"), F.sum("n")).alias("parts"))
+    pairs = stored(pairs, "pairs")
+    parts = stored(pairs.groupBy("at").agg(_parts(F.count("*"), F.sum("n"), FIRST_TEXTS, FIRST_SHINGLES).alias("parts")), "parts")
     gid = lambda part: F.xxhash64("at", part).alias("gid")
     others = pairs.join(parts, "at").select(gid(F.pmod(F.xxhash64("cid"), F.col("parts"))), F.lit(1).alias("side"), "cid", F.col("cid").alias("label"))
     firsts = parts.select("at", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part")).select(gid(F.col("part")), F.lit(0).alias("side"), F.col("at").alias("cid"), F.col("at").alias("label"))
@@ -225,16 +229,17 @@ def _large_buckets(open_: DataFrame) -> DataFrame:
     members = stored(large.select("cid", "n", "label").distinct().join(families, F.col("cid") == F.col("node")).select(F.col("root").alias("family"), "cid", "n", "label"), "families")
     labels = members.groupBy("family", "label").agg(F.count("*").alias("texts"), F.sum("n").alias("total"))
     # A component that fills parts has blocks of its own; what is left of the family is mixed.
-    full = labels.where((F.col("texts") > PART_TEXTS) | (F.col("total") > PART_SHINGLES)).select("family", "label", F.col("label").alias("kind"), _parts(F.col("texts"), F.col("total")).alias("parts"))
-    mixed = labels.join(full, ["family", "label"], "left_anti").groupBy("family").agg(_parts(F.sum("texts"), F.sum("total")).alias("mixed"))
+    parts = lambda texts, total: _parts(texts, total, PART_TEXTS, PART_SHINGLES)
+    full = stored(labels.where((F.col("texts") > PART_TEXTS) | (F.col("total") > PART_SHINGLES)).select("family", "label", F.col("label").alias("kind"), parts(F.col("texts"), F.col("total")).alias("parts")), "full")
+    mixed = stored(labels.join(full, ["family", "label"], "left_anti").groupBy("family").agg(parts(F.sum("texts"), F.sum("total")).alias("mixed")), "mixed")
     placed = members.join(full, ["family", "label"], "left").join(mixed, "family", "left")
-    block = F.struct(F.coalesce("kind", F.lit(-1)).alias("kind"), F.pmod(F.xxhash64("cid"), F.coalesce("parts", "mixed", F.lit(1))).alias("k"))
-    placed = stored(placed.select("family", block.alias("block"), "cid", "label"), "blocks")
-    blocks = placed.select("family", "block").distinct()
-    both = blocks.join(blocks.select("family", F.col("block").alias("other")), "family").where((F.col("block") <= F.col("other")) & ((F.col("block.kind") != F.col("other.kind")) | (F.col("block.kind") == -1)))
-    both = both.withColumn("gid", F.xxhash64("family", "block", "other"))
-    sides = both.select("family", "gid", "block", F.lit(0).alias("side")).unionByName(both.where("block <> other").select("family", "gid", F.col("other").alias("block"), F.lit(1).alias("side")))
-    return placed.join(sides, ["family", "block"]).select("gid", "side", "cid", "label")
+    block = F.struct("family", F.coalesce("kind", F.lit(-1)).alias("kind"), F.pmod(F.xxhash64("cid"), F.coalesce("parts", "mixed", F.lit(1))).alias("k"))
+    placed = stored(placed.select(block.alias("block"), "cid", "label"), "blocks")
+    meet = stored(large.select("bucket", "cid").join(placed.select("cid", "block"), "cid").select("bucket", "block").distinct(), "meet")
+    both = meet.join(meet.select("bucket", F.col("block").alias("other")), "bucket").where((F.col("block") <= F.col("other")) & ((F.col("block.kind") != F.col("other.kind")) | (F.col("block.kind") == -1)))
+    both = stored(both.select("block", "other").distinct().withColumn("gid", F.xxhash64("block", "other")), "both")
+    sides = both.select("gid", "block", F.lit(0).alias("side")).unionByName(both.where("block <> other").select("gid", F.col("other").alias("block"), F.lit(1).alias("side")))
+    return placed.join(sides, "block").select("gid", "side", "cid", "label")
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -244,20 +249,19 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     first = sketches.where("h2 is not null").groupBy("h1", "h2").agg(F.min("_key").alias("min_key"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
     classes = stored(first.withColumn("cid", F.monotonically_increasing_id()), "classes")
     spread = classes.select("cid", "n", F.explode("bands").alias("bucket"))
-    shared = spread.groupBy("bucket").agg(F.min(F.struct("cid", "n")).alias("least"), F.count("*").alias("size")).where("size > 1")
+    shared = stored(spread.groupBy("bucket").agg(F.min(F.struct("cid", "n")).alias("least"), F.count("*").alias("size")).where("size > 1"), "shared")
     members = stored(spread.join(shared, "bucket"), "buckets")
     wanted = classes.select("cid", "min_key", "h1", "h2").join(members.select("cid").distinct(), "cid", "left_semi")
     sets = stored(shingle_sets(docs, stored(wanted, "wanted"), words, key, text), "sets")
     links = compare(_against_least(members, percent), sets, percent)
     joined = components(links)
     labelled = members.join(joined, F.col("cid") == F.col("node"), "left").withColumn("label", F.coalesce("root", "cid")).drop("node", "root")
-    unsettled = labelled.groupBy("bucket").agg(F.min("label").alias("_lo"), F.max("label").alias("_hi")).where("_lo < _hi").select("bucket")
+    unsettled = stored(labelled.groupBy("bucket").agg(F.min("label").alias("_lo"), F.max("label").alias("_hi")).where("_lo < _hi").select("bucket"), "unsettled")
     open_ = stored(labelled.join(unsettled, "bucket", "left_semi"), "open")
     more = compare(_small_buckets(open_, percent).unionByName(_large_buckets(open_)), sets, percent)
     if more.take(1):
         joined = components(links.unionByName(more))
     ids = classes.select("cid", "h1", "h2", "min_key").join(joined, F.col("cid") == F.col("node"), "left").withColumn("root", F.coalesce("root", "cid"))
-    # Stored, so that the join reads two exchanges and a large group's part can be split.
     least = stored(ids.groupBy("root").agg(F.min("min_key").alias("least_key")), "least")
     done = ids.join(least, "root").select("h1", "h2", "least_key")
     out = sketches.select("_key", "n_shingles", "h1", "h2").join(done, ["h1", "h2"], "left")
@@ -265,25 +269,17 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     return out.select(F.col("_key").alias(key), "n_shingles", component.alias("component_id"), F.col("_key").eqNullSafe(component).alias("kept"))
 
 
-def _is_table(df: DataFrame) -> bool:
-    """Whether df only reads files, so that row numbers by scan order come out alike each time."""
-    plan = df._jdf.queryExecution().analyzed()
-    while plan.getClass().getSimpleName() == "Project":
-        plan = plan.child()
-    return plan.getClass().getSimpleName() == "LogicalRelation"
-
-
 def deduplicate(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of docs, in all columns, without near duplicates: of each group the row with the smallest id stays.
 
-    Works by row, so repeated and null ids lose nothing: of rows with equal ids the first stays, and null ids come last.
+    Works by row, so repeated and null ids lose nothing: of rows with equal ids the first by place in the files
+    stays, and null ids come last.
     """
-    docs = docs if _is_table(docs) else stored(docs, "docs")
-    rows = masked(docs).withColumn("_row", F.monotonically_increasing_id())
+    rows = numbered(masked(docs), "_row")
     groups = near_duplicates(rows, words, percent, "_row", mask_of(docs, text)).select("_row", "component_id")
-    named = groups.join(rows.select("_row", F.col(mask_of(docs, key)).alias("_key")), "_row")
+    named = stored(groups.join(rows.select("_row", F.col(mask_of(docs, key)).alias("_key")), "_row"), "named")
     order = F.struct(F.col("_key").isNull().alias("none"), "_key", "_row")
-    best = named.groupBy("component_id").agg(F.min(order).alias("_best"), F.count("*").alias("_n")).where("_n > 1")
+    best = stored(named.groupBy("component_id").agg(F.min(order).alias("_best"), F.count("*").alias("_n")).where("_n > 1"), "best")
     gone = stored(named.join(best, "component_id").where(F.col("_row") != F.col("_best._row")).select("_row"), "gone")
     return unmasked(rows.join(small(gone, gone.count()), "_row", "left_anti"), docs)
 

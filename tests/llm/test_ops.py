@@ -12,7 +12,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from hakuspark.llm import common, components, embedding_dedup, lang_id, license_scan, minhash, packing, pieces, registry, secret_scan, topk_search, url_filter, warc
+from hakuspark.llm import common, components, embedding_dedup, lang_id, license_scan, minhash, packing, pieces, registry, secret_scan, url_filter, warc
 from hakuspark.llm.tokens import WordTokenizer, vocabulary_path
 
 #: Names that operators use inside, as extra columns of the input.
@@ -294,15 +294,6 @@ def test_urls(spark):
     assert url_filter.judge_urls(df.limit(0), rules).count() == 0
 
 
-def test_urls_long_list(spark, monkeypatch):
-    """A list that isn't broadcast, of which the filter passes nearly only what is listed."""
-    monkeypatch.setattr(url_filter, "BROADCAST_ROWS", 10)
-    rules = spark.range(2000).select(F.concat(F.lit("h"), F.col("id"), F.lit(".org")).alias("host"), F.lit("/").alias("path"), F.lit("block").alias("verdict"))
-    pages = spark.range(4000).select(F.col("id").alias("page_id"), F.concat(F.lit("http://w.h"), F.col("id"), F.lit(".org/x")).alias("url"))
-    got = url_filter.judge_urls(pages, rules)
-    assert got.where("verdict = 'block'").count() == 2000 and got.where("page_id < 2000 and rule is null").count() == 0
-
-
 # --- 6: secrets
 
 
@@ -370,7 +361,7 @@ def test_minhash(spark, texts, words):
 
 def test_minhash_large_bucket(spark, monkeypatch):
     """Groups near the threshold, through the second round and its blocks."""
-    for name, value in (("SMALL", 3), ("PART_TEXTS", 7), ("PART_SHINGLES", 900)):
+    for name, value in (("SMALL", 3), ("FIRST_TEXTS", 5), ("FIRST_SHINGLES", 700), ("PART_TEXTS", 7), ("PART_SHINGLES", 900)):
         monkeypatch.setattr(minhash, name, value)
     r = random.Random(9)
     base_ = [f"w{i}" for i in range(100)]
@@ -391,6 +382,22 @@ def test_deduplicate_rows(spark, texts):
     assert (7, "another text under an id that repeats") in left and (0, None) in left and (None, None) in left
 
 
+def test_numbered_rows(spark, tmp_path):
+    """Numbers depend on files and places only, not on how the files are split or what is read besides."""
+    spark.range(5_000).selectExpr("id", "repeat('x', cast(id % 50 as int)) as _metadata_", "1 as _file").repartition(3, "id").write.option("parquet.block.size", 4_000).parquet(str(tmp_path / "d"))
+    docs = spark.read.parquet(str(tmp_path / "d"))
+    once = {r["id"]: r["_row"] for r in common.numbered(common.masked(docs), "_row").toDF("id", "b", "c", "_row").collect()}
+    size = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "3000")
+        again = {r["id"]: r["_row"] for r in common.numbered(common.masked(docs), "_row").toDF("id", "b", "c", "_row").where("id > 100").collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    assert len(set(once.values())) == len(once) == 5_000 and all(once[k] == v for k, v in again.items())
+    made = spark.range(10).withColumn("_metadata", F.lit(1))
+    assert common.numbered(common.masked(made), "_row").select("_row").distinct().count() == 10
+
+
 def test_signature_variance():
     """Values agree as often as sets overlap, for least and greatest alike."""
     r = np.random.default_rng(5)
@@ -436,33 +443,38 @@ def test_language_filter_counts():
 
 
 def test_language_slices(monkeypatch):
-    text = " ".join(f"wort{i} été" for i in range(500)).lower()
-    whole = Counter(lang_id._gram_hashes([text])[0].tolist())
-    monkeypatch.setattr(lang_id, "SLICE", 700)
-    parts = Counter(h for p, _ in lang_id._slices([text]) for h in lang_id._gram_hashes(p)[0].tolist())
-    assert max(sum((whole - parts).values()), sum((parts - whole).values())) <= lang_id.N * (len(text) // 700)
-
-
-# --- 9: top-k
-
-
-def test_topk(spark):
-    r = random.Random(12)
-    data = [(i, [r.choice([-0.5, -0.01, 0.0, 0.004, 0.25, 0.9, 3.0]) for _ in range(8)]) for i in range(300)]
-    data += [(i, data[i % 7][1]) for i in range(300, 340)] + [(400, None), (450, [None, 1.0]), (500, [float("nan")] * 8), (550, [0.5]), (600, []), (650, [0.0] * 8), (700, [-1.0] * 8), (None, [1.0] * 8), (50, [0.3] * 8)]
-    df = spark.createDataFrame(data, "vec_id long, embedding array<float>")
-    whole = [(k, np.floor(256 * np.float32(v).astype(float)).astype(int)) for k, v in data if k is not None and v is not None and None not in v and np.isfinite(np.float32(v)).all()]
-    score = lambda a, b: int(a[: min(len(a), len(b))] @ b[: min(len(a), len(b))])
-    expected = []
-    for q, v in whole:
-        if q % 50 == 0:
-            best = sorted((-score(v, w), k) for k, w in whole if k != q)[:5]
-            expected += [(q, k, -s) for s, k in best]
-    got = topk_search.top_k(clash(df), df.where("vec_id % 50 = 0")).select("query_id", "vec_id", "score")
-    once = [x for x in expected if x[0] != 50]  # id 50 is two rows, so its queries share ranks
-    assert sorted(tuple(x) for x in got.where("query_id <> 50").collect()) == sorted(once)
-    assert topk_search.top_k(df.limit(0), df).count() == 0
-    assert topk_search.top_k(df.where("vec_id < 3"), df.where("vec_id = 0")).count() == 2
+    """Long texts give the same n-grams in slices, wherever these are cut."""
+    r = random.Random(16)
+    for _ in range(60):
+        text = "".join(r.choice("abÉ漢 .1\n") * r.choice([1, 1, 1, 5]) for _ in range(r.randint(5, 200))).lower()
+        monkeypatch.setattr(lang_id, "SLICE", 10**9)
+        whole = Counter(lang_id._gram_hashes([text])[0].tolist())
+        monkeypatch.setattr(lang_id, "SLICE", r.choice([1, 2, 3, 4, 7]))
+        assert Counter(h for p, _, _ in lang_id._lots([text, "ab"]) for h in p.tolist()) - Counter(lang_id._gram_hashes(["ab"])[0].tolist()) == whole
+
+
+def plain_grams(text):
+    """Four characters each of words and single blanks, with a blank at both ends; blanks alone are none."""
+    words = "".join(c if c.isalpha() else " " for c in text.lower())
+    line = " " + re.sub(" +", " ", words) + " "
+    return [line[i : i + 4] for i in range(len(line) - 3) if line[i : i + 4].strip()]
+
+
+def test_language_against_sets(spark):
+    """Bloom filters decide as exact sets of n-grams do."""
+    docs = [(r["text"], r["lang"]) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect() if r["text"] and r["lang"]]
+    learned: dict = {}
+    for text, lang in docs[::2]:
+        learned.setdefault(lang, Counter()).update(plain_grams(text))
+    sets = {k: {g for g, n in c.most_common(3_000)} for k, c in learned.items()}
+    code = lambda g: np.uint64(0) + lang_id._mixed(np.array([sum(int(ord(c)) * pow(0x9E3779B97F4A7C15, 3 - i, 1 << 64) for i, c in enumerate(g)) % (1 << 64)], np.uint64))[0]
+    model = lang_id.LanguageModel({k: np.array(sorted(map(code, s)), np.uint64) for k, s in sets.items()})
+    labels, scores = model.predict([t for t, _ in docs])
+    for (text, _), label, score in zip(docs, labels, scores):
+        grams = plain_grams(text)
+        share = {k: sum(g in s for g in grams) / max(len(grams), 1) for k, s in sets.items()}
+        off = 0.03 + 2 / max(len(grams), 1)  # a short text may hold a false positive or two
+        assert abs(share[label] - score) < off and share[label] >= max(share.values()) - off
 
 
 # --- 10: licences

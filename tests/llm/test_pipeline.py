@@ -53,3 +53,11 @@ def test_odd_tables(spark):
     for df in (clash(docs), docs.limit(0)):
         for _, stage in corpus_pipeline.STAGES[:-1]:
             assert stage(spark, df, SF).columns == df.columns
+
+
+def test_unlabelled(spark):
+    """Without any label all documents with letters stay."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").withColumn("lang", F.lit(None).cast("string"))
+    odd = docs.unionByName(docs.limit(1).withColumn("text", F.lit("12 34!"))).unionByName(docs.limit(1).withColumn("text", F.lit(None).cast("string")))
+    kept = corpus_pipeline.identify_language(spark, odd, SF)
+    assert kept.columns == docs.columns and kept.count() == docs.count()
