@@ -4,7 +4,8 @@ Writing needs no Python: a record is one string, and Spark's text sink ends each
 record's own terminator; files are gzip streams. Reading streams each file through Spark's text source in pieces
 between CR LF CR LF and puts blocks together by Content-Length, so a payload may hold any bytes, that sequence
 included, and no file is held whole. Assembly joins request and metadata records to the response or revisit record
-that their WARC-Concurrent-To names, one nested row per capture.
+that their WARC-Concurrent-To names, one nested row per capture. The query parses and digests its archive once, and
+stores the records without payloads.
 
 Of pages with equal payloads (SHA-1 and length) of at least min_bytes, the one with the smallest id is a response
 and the others are revisits that refer to it.
@@ -26,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hakuspark.llm.common import scratch, stored, table
+from hakuspark.llm.common import numbered, scratch, small, stored, table
 
 SEPARATOR = b"\r\n\r\n"
 DATE = "2024-01-01T00:00:00Z"
@@ -56,16 +57,19 @@ def _record(headers: list[tuple[str, Column]], block: Column) -> Column:
 
 def write_archive(pages: DataFrame, path: str, key: str = "page_id", url: str = "url", payload: str = "html", min_bytes: int = 0) -> None:
     """Write a response or revisit, a request and a metadata record for every row, as gzip files under path."""
-    rows = pages.select(F.col(key).alias("_key"), F.regexp_replace(F.col(url), r"[\x00-\x20\x7f]", "%20").alias("_url"), F.coalesce(F.col(payload).cast("binary"), F.lit(b"")).alias("_body"), F.monotonically_increasing_id().alias("_row"))
+    rows = numbered(pages.select(F.col(key).alias("_key"), F.col(url).alias("_given"), F.col(payload).alias("_payload")), "_row")
+    rows = rows.select("_key", F.regexp_replace("_given", r"[\x00-\x20\x7f]", "%20").alias("_url"), F.coalesce(F.col("_payload").cast("binary"), F.lit(b"")).alias("_body"), "_row")
     rows = rows.withColumns({"_digest": base32_sha1(F.col("_body")), "_bytes": F.octet_length("_body").cast("long"), "_id": _urn(F.lit("capture"), F.col("_key"), F.col("_row"))})
-    dated = rows.where(f"_key is not null and _bytes >= {int(min_bytes)}")
-    first = dated.groupBy("_digest", "_bytes").agg(F.min(F.struct("_key", "_id")).alias("_first"), F.max("_key").alias("_last")).where("_last > _first._key").drop("_last")
-    rows = rows.join(first, ["_digest", "_bytes"], "left").withColumn("_revisit", F.coalesce(F.col("_key") > F.col("_first._key"), F.lit(False)))
+    # What a revisit refers to is found without any payload, and joined to the pages by row.
+    dated = rows.where(f"_key is not null and _bytes >= {int(min_bytes)}").select("_digest", "_bytes", "_key", "_id", "_row")
+    first = stored(dated.groupBy("_digest", "_bytes").agg(F.min(F.struct("_key", "_id")).alias("_first"), F.max("_key").alias("_last")).where("_last > _first._key").drop("_last"), "first")
+    again = stored(dated.join(first, ["_digest", "_bytes"]).where("_key > _first._key").select("_row", F.col("_first._id").alias("_refers")), "again")
+    rows = rows.join(small(again, again.count()), "_row", "left").withColumn("_revisit", F.col("_refers").isNotNull())
     head = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.col("_bytes").cast("string"), F.lit("\r\n\r\n"))
     common = [("WARC-Target-URI", F.col("_url")), ("WARC-Date", F.lit(DATE))]
     capture = _record(
         [("WARC-Type", F.when(F.col("_revisit"), "revisit").otherwise("response")), ("WARC-Record-ID", F.col("_id")), *common,
-         ("WARC-Profile", F.when(F.col("_revisit"), REVISIT_PROFILE)), ("WARC-Refers-To", F.when(F.col("_revisit"), F.col("_first._id"))),
+         ("WARC-Profile", F.when(F.col("_revisit"), REVISIT_PROFILE)), ("WARC-Refers-To", F.col("_refers")),
          ("WARC-Payload-Digest", F.concat(F.lit("sha1:"), "_digest")), ("Content-Type", F.lit("application/http;msgtype=response"))],
         F.when(F.col("_revisit"), head).otherwise(F.concat(head, F.col("_body").cast("string"))),
     )
@@ -159,9 +163,9 @@ def assemble(records: DataFrame, related_rows: int = RELATED_ROWS) -> DataFrame:
     record = F.struct(*(F.col(c) for c in records.columns))
     main = records.where("record_type in ('response', 'revisit')").select(F.col("record_id").alias("capture_id"), record.alias("response"))
     related = records.where("record_type in ('request', 'metadata')").select(F.col("concurrent_to").alias("_to"), "record_id", "record_type", record.alias("_record"))
-    many = related.groupBy("_to").agg(F.count("*").alias("_n")).where(F.col("_n") > related_rows)
+    many = stored(related.groupBy("_to").agg(F.count("*").alias("_n")).where(F.col("_n") > related_rows), "many")
     parts = F.coalesce(F.ceil(F.col("_n") / related_rows), F.lit(1))
-    dealt = related.join(many, "_to", "left").withColumn("_part", F.pmod(F.xxhash64("record_id"), parts))
+    dealt = related.join(small(many, many.count()), "_to", "left").withColumn("_part", F.pmod(F.xxhash64("record_id"), parts))
     kind = lambda k: F.array_sort(F.collect_list(F.when(F.col("record_type") == k, F.col("_record"))), lambda a, b: F.when(a["record_id"] < b["record_id"], -1).when(a["record_id"] > b["record_id"], 1).otherwise(0))
     grouped = dealt.groupBy("_to", "_part").agg(kind("request").alias("requests"), kind("metadata").alias("metadata"))
     joined = main.join(grouped, F.col("capture_id") == F.col("_to"), "full_outer")
@@ -171,7 +175,8 @@ def assemble(records: DataFrame, related_rows: int = RELATED_ROWS) -> DataFrame:
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch(spark, "warc")
     write_archive(table(spark, sf_dir, "pages"), path)
-    captures = assemble(read_records(spark, path, with_payload=False)).where("part = 0 and response is not null")
+    records = stored(read_records(spark, path, with_payload=False), "records")
+    captures = assemble(records).where("part = 0 and response is not null")
     page = F.regexp_extract(F.decode(F.col("metadata")[0]["payload"], "utf-8"), r"page-id: *(-?\d+)", 1)
     rows = stored(captures.select("capture_id", F.when(page != "", page.cast("long")).alias("page_id"), "response.record_type", "response.refers_to", "response.payload_bytes", "response.payload_digest"), "captures")
     first = rows.where("record_type = 'response'").select(F.col("capture_id").alias("_id"), F.col("page_id").alias("_page"), F.col("payload_bytes").alias("_bytes"), F.col("payload_digest").alias("_digest"))
