@@ -2,6 +2,10 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a frame, which is written as Parquet and read again as the next
 one's docs. All but the last return the columns of documents. A stage works on all rows that the one before kept.
+
+Defined cases: a null, empty or letterless text goes in the first stage, and so does one of an unknown language, but
+not where no row is labelled; rows that repeat are near duplicates of each other, null ids lose against others; an
+empty table gives an empty result; columns that aren't used are passed on, whatever their names.
 """
 
 from __future__ import annotations
@@ -18,8 +22,14 @@ LEAST_SCORE = 0.2
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents without letters, and those whose n-grams no language knows; a missing lang is filled in."""
-    judged = lang_id.predict(masked(docs), lang_id.fit(docs), mask_of(docs, "text"))
+    """Drop documents without letters, and those whose n-grams no language knows; a missing lang is filled in.
+
+    Where no row has a lang, nothing is known of any language, and all documents with letters stay.
+    """
+    model = lang_id.fit(docs)
+    if not model.languages:
+        return docs.where(F.col("text").rlike(r"\p{L}"))
+    judged = lang_id.predict(masked(docs), model, mask_of(docs, "text"))
     kept = judged.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE))
     lang = mask_of(docs, "lang")
     return unmasked(kept.withColumn(lang, F.coalesce(lang, "lang_pred")), docs)
