@@ -7,15 +7,18 @@ that no piece covers falls back to its bytes.
 
 The text is cut where no piece can reach across (before blanks, if no piece has a blank after another character,
 and around control characters that no longer piece holds), so that each distinct part is encoded once. Decoding is
-exact, except that U+2581 stands for a blank in the model and so comes back as one.
+exact, except that U+2581 stands for a blank in the model and so comes back as one. Texts are not normalized, but for
+the blank put before each: models whose own rules fold characters give other pieces here.
 
-Defined cases: a null text has null results; an empty text has no ids; repeated rows are each encoded; other columns
-are ignored. Texts are encoded whole.
+Defined cases: a null text has null results; an empty text has no ids; segmentations of equal score go to the earliest
+start; repeated rows are each encoded; an empty table has no rows; other columns are ignored. Texts are encoded whole;
+the places of a part of more than LONG characters (without any blank) are kept in compact arrays.
 """
 
 from __future__ import annotations
 
 import re
+from array import array
 from collections import deque
 from collections.abc import Iterator
 
@@ -24,13 +27,14 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hakuspark.llm.common import table
+from hakuspark.llm.common import small_batches, table
 from hakuspark.llm.packing import _nullable
 from hakuspark.llm.tokens import Memo, flattened, lengths, vocabulary_path
 
 MODEL = "piece_bpe_32k.model"
 BLANK = "▁"
 UNKNOWN_PENALTY = 10.0
+LONG = 100_000
 
 
 class Automaton:
@@ -98,7 +102,9 @@ class PieceModel:
     def segment(self, text: str) -> list[int]:
         """Ids of the best segmentation of a text whose blanks are already written as U+2581."""
         a, scores, n = self.automaton, self.scores, len(text)
-        best, start, chosen = [0.0] + [-np.inf] * n, [0] * (n + 1), [-1] * (n + 1)
+        row = (lambda code, value: [value] * (n + 1)) if n <= LONG else (lambda code, value: array(code, [value]) * (n + 1))
+        best, start, chosen = row("d", -np.inf), row("q", 0), row("i", -1)
+        best[0] = 0.0
         state = 0
         for at, c in enumerate(text, 1):
             while state and c not in a.child[state]:
@@ -140,6 +146,7 @@ class PieceModel:
 
 def encode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Return key, ids, n_tokens, and round_trip: whether decoding the ids gives the text again."""
+    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = PieceModel.held(path)

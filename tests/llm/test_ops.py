@@ -173,7 +173,7 @@ def test_warc_blocks():
 # --- 3: SentencePiece
 
 
-def test_pieces(spark, texts):
+def test_pieces(spark, texts, monkeypatch):
     model = pieces.PieceModel(vocabulary_path(pieces.MODEL))
     usable = {p: i for i, p in enumerate(s.decode("utf-8", "ignore").replace(" ", pieces.BLANK) for s in model.spelled) if p and i > 258}
 
@@ -187,11 +187,17 @@ def test_pieces(spark, texts):
     def cost(ids, text):
         return sum(model.scores[i] if i > 258 else 0 for i in ids) + model.unknown * sum(c not in usable for c in text)
 
-    for text in ["the theory of ouen the", "a  b   c", " x", "日本語テスト 😀", "tabs\tand\nlines\r\n", "aaaaaaaaaa", "Straße été"]:
+    r = random.Random(11)
+    drawn = ["".join(r.choices(["the", "ing", "tion", "un", "e", "s", " ", "  ", ".", "é", "語", "\n", "\t", "0", "Q"], k=r.randint(1, 60))) for _ in range(150)]
+    for text in ["the theory of ouen the", "a  b   c", " x", "日本語テスト 😀", "tabs\tand\nlines\r\n", "aaaaaaaaaa", "Straße été", *drawn]:
         ids = model.encode(text).tolist()
         assert model.decode(ids) == text
         assert cost(ids, written := pieces.BLANK + text.replace(" ", pieces.BLANK)) == pytest.approx(best(written))
     data, df = texts
+    unbroken = "".join(t for _, t in data[9:20]).replace(" ", "")
+    listed = model.segment(unbroken)
+    monkeypatch.setattr(pieces, "LONG", 10)
+    assert model.segment(unbroken) == listed and model.decode(listed) == unbroken
     got = pieces.encode(clash(df), vocabulary_path(pieces.MODEL))
     assert got.where("round_trip = false").count() == 0 and got.count() == len(data)
     assert got.where("ids is null").count() == sum(t is None for _, t in data)
