@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 
 #: A side of a join is broadcast only if it has at most so many rows (of a few numbers each).
 BROADCAST_ROWS = 100_000
-#: Whole texts that Python workers get at once.
+#: Whole texts that Python workers get at once, and about so many bytes of them.
 TEXT_ROWS = 1_000
+TEXT_BYTES = 2_000_000
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -30,10 +31,11 @@ def scratch(spark: SparkSession, name: str) -> str:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Lower the session's Arrow batches to TEXT_ROWS rows, as a batch of whole texts would be large otherwise."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(name)) <= TEXT_ROWS:
-        spark.conf.set(name, TEXT_ROWS)
+    """Lower the session's Arrow batches to TEXT_ROWS rows and TEXT_BYTES, as batches of whole texts would be large otherwise."""
+    for name, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", TEXT_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", TEXT_BYTES)):
+        now = spark.conf.get(name)
+        if not now.isdecimal() or not 0 < int(now) <= most:
+            spark.conf.set(name, most)
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
